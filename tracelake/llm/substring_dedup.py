@@ -88,10 +88,12 @@ def _cut(window):
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, begins in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "begins")), strict=True):
+            for doc, text, begins, copied in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "begins", "copied")), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n = len(words)
-                if begins.is_valid and len(begins.values):
+                if n >= window and copied.as_py():
+                    words = []
+                elif begins.is_valid and len(begins.values):
                     begin = np.asarray(begins.values, np.int64)
                     drop = covered(begin, begin + window, n)
                     words = [w for w, gone in zip(words, drop.tolist(), strict=True) if not gone]
@@ -108,11 +110,32 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     key = ["doc_id", "tkey"]
     base = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     named = base.where("doc_id is not null and text is not null")
+    # a copy of a document with a smaller doc_id goes as a whole and is never factored; blocks of one text alone need no look
+    ids = named.select(*key, F.xxhash64(F.reverse("text")).alias("back"))
+    firsts = ids.groupBy("tkey", "back").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("tkey", "back", "first")
+    copies = materialize(ids.join(firsts, ["tkey", "back"]).where("doc_id > first").select(*key).distinct(), "copies")
     index = named.mapInArrow(_index(window, gram), "block long, doc_id long, tkey long")
-    shared = index.groupBy("block").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("block")
-    lists = materialize(index.join(shared, "block").groupBy(*key).agg(F.collect_set("block").alias("blocks")), "blocks")
+    shared = index.groupBy("block").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi")).where("lo < hi").select("block")
+    lists = index.join(shared, "block").groupBy(*key).agg(F.collect_set("block").alias("blocks"))
+    lists = materialize(lists.join(copies, key, "left_anti"), "blocks")
     held = named.join(lists.hint("shuffle_hash"), key)
     windows = held.mapInArrow(_factor(window, gram), "whole long, doc_id long, tkey long, start int")
     earliest = windows.groupBy("whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("whole", "lo")
+    # written, so that the join below stands alone and Spark can split a window that very many documents share
+    earliest = materialize(earliest, "earliest")
     found = windows.join(earliest, "whole").where("doc_id > lo").groupBy(*key).agg(F.collect_list("start").alias("begins"))
-    return base.join(materialize(found, "begins").hint("shuffle_hash"), key, "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    marks = found.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
+    return base.join(materialize(marks, "begins").hint("shuffle_hash"), key, "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+p as (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50),
+h as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from p),
+m as (select h, min(doc_id) as first from h group by h),
+gone as (select distinct h.doc_id, unnest(range(h.i, h.i + 50)) as i from h join m using (h) where h.doc_id > m.first),
+g as (select doc_id, list(i) as gone from gone group by doc_id)
+select w.doc_id, len(w.words)::bigint as n_words, coalesce(len(g.gone), 0)::bigint as n_removed,
+  sha256(coalesce(array_to_string(case when g.gone is null then w.words else [w.words[j] for j in range(1, len(w.words) + 1) if not list_contains(g.gone, j)] end, ' '), '')) as kept_sha256
+from w left join g using (doc_id)
+"""

@@ -27,7 +27,8 @@ from .common import Powers, byte_codes, covered, gram_hashes, materialize, prefi
 
 LENGTH = 400
 GRAM = 50
-HOT = 20_000
+# a group of so many occurrences has about 35 MB of text and 250 MB of working arrays
+HOT = 60_000
 KEY = ["did", "tkey"]
 
 
@@ -114,22 +115,30 @@ def _expand(length):
     schema = pa.schema([("did", pa.int64()), ("tkey", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def repeated(group, pw):
-        data = np.frombuffer(b"".join(x[4] for x in group), np.uint8)
+        held: dict[bytes, int] = {}
+        for x in group:
+            held[x[4]] = held.get(x[4], 0) + 1
+        each = list(held)
+        size = np.array([len(x) - length + 1 for x in each])
+        data = np.frombuffer(b"".join(each), np.uint8)
         whole = gram_hashes(prefix_sums(byte_codes()[data], pw), length, pw)
-        size = np.array([x[3] for x in group])
         offset = np.concatenate(([0], np.cumsum(size + length - 1)))[:-1]
-        place = np.repeat(offset - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        _, back, n = np.unique(whole[place], return_inverse=True, return_counts=True)
-        twice = n[back] > 1
-        at = 0
-        for x in group:
-            own = twice[at : at + x[3]]
-            at += x[3]
-            if own.all():
-                yield x[1], x[2], x[0], x[0] + x[3]
-            elif own.any():
-                for lo, hi in zip(*runs(own), strict=True):
-                    yield x[1], x[2], x[0] + int(lo), x[0] + int(hi)
+        whole = whole[np.repeat(offset - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+        order = np.sort(whole)
+        order = order[1:][order[1:] == order[:-1]]
+        if len(order):
+            found = np.searchsorted(order, whole)
+            twice = order[np.minimum(found, len(order) - 1)] == whole
+        else:
+            twice = np.zeros(len(whole), bool)
+        ends = np.cumsum(size)
+        for around, n, end in zip(each, size.tolist(), ends.tolist(), strict=True):
+            own = twice[end - n : end]
+            # equal surroundings settle all their strings at once
+            held[around] = [(0, n)] if held[around] > 1 or own.all() else [(int(a), int(b)) for a, b in zip(*runs(own), strict=True)]
+        for begin, did, key, _, around in group:
+            for lo, hi in held[around]:
+                yield did, key, begin + lo, begin + hi
 
     def run(batches):
         pw, last, group, out = Powers(), None, [], []
