@@ -122,6 +122,14 @@ def canonical_col(column: Column, kind: T.DataType) -> Column:
         text = F.concat(F.lit("x:"), F.lower(F.hex(column)))
     elif isinstance(kind, T.DateType):
         text = F.concat(F.lit("t:"), column.cast("string"))
+    elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        micros = F.date_format(column, "SSSSSS")
+        text = F.concat(F.lit("t:"), F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""))
+    elif isinstance(kind, T.DecimalType):
+        plain = column.cast("string")
+        text = F.concat(F.lit("d:"), F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: F.md5(canonical_col(x, kind.elementType).cast("binary"))), ","), F.lit("]"))
     else:
         text = F.concat(F.lit("j:"), F.to_json(F.struct(column.alias("v"))))
     return F.coalesce(text, F.lit("n:"))

@@ -102,9 +102,27 @@ class Log:
     def calls_io(self) -> DataFrame:
         return self.io().drop("label")
 
+    def link(self, op: str, direction: str, label: str) -> DataFrame:
+        """call_hid, name and ref_hid of one kind of edge."""
+        fact = self.facts.get(op)
+        if fact is None or label not in (fact.input_names if direction == "in" else fact.output_names):
+            return self.io().where("false").select("call_hid", "name", "ref_hid")
+        return fact.branch(label).select("call_hid", "name", "ref_hid")
+
+    def calls(self, op: str) -> DataFrame:
+        fact = self.facts[op]
+        return fact.branch(fact.output[0]).select(F.col("call_hid").alias("hid"))
+
+    def plural(self, op: str, label: str) -> bool:
+        return False
+
     def wide(self, op: str) -> DataFrame:
         return self.facts[op].wide()
 
+    def values(self) -> DataFrame:
+        """hid, cid, vtype, i, d, s: the payload of each atom by history id."""
+        return self.atoms.select("hid", "cid", F.lit("str").alias("vtype"), F.lit(None).cast("long").alias("i"), "d", "s")
+
     def edges(self, ops=None) -> DataFrame:
         """call_hid, op, in_hid, out_hid: each input of a call beside each of its outputs, without a join."""
         parts = []

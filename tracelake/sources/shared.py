@@ -1,17 +1,105 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Folders that all executors share: cutting lineage, spilling by node, and small files through Hadoop's file systems."""
 
+from __future__ import annotations
+
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def ensure_shared(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a temporary folder serves only where the session names none."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-"))
+def ensure_shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary folder serves only where the session names none."""
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not current.isDefined():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-"))
+        current = context._jsc.sc().getCheckpointDir()
+    return named or current.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage ended by a reliable checkpoint."""
     ensure_shared(df.sparkSession)
     return df.checkpoint()
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _path(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, fs = _path(spark, path)
+    fs.delete(where, True)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
+        pass
+
+
+def spill(df: DataFrame, by: str | None = None, name: str = "spill") -> DataFrame:
+    """df written to the shared folder and read back; with `by`, later filters on that column read only its folder."""
+    spark = df.sparkSession
+    path = f"{ensure_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, removed when the interpreter ends."""
+    path = f"{ensure_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    where, fs = _path(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
+    """Without `overwrite`, fails where the file exists; that makes it a lock."""
+    where, fs = _path(spark, path)
+    stream = fs.create(where, overwrite)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def swap_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Replace a file in one step: readers see the old content or the new one."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    new = f"{path}.{uuid.uuid4().hex}"
+    write_bytes(spark, new, data)
+    where, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, path))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    files.rename(where, old, options)
+
+
+def hids(spark: SparkSession, values) -> DataFrame:
+    """Ids as a one-column DataFrame; a DataFrame passes through under the name hid."""
+    if isinstance(values, DataFrame):
+        return values.select(F.col(values.columns[0]).alias("hid"))
+    return spark.createDataFrame([(v,) for v in values], "hid string")
