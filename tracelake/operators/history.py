@@ -150,7 +150,7 @@ def attach_values(frame: Frame, df: DataFrame, columns: list[str]) -> DataFrame:
 
     A variable whose atoms are all of one type gives a column of that type, else text. A cell of several gives a list as text.
     """
-    plural = _plural(df, columns) if not hasattr(frame.log, "facts") else set()
+    plural, order = _plural(df, columns) if not hasattr(frame.log, "facts") else set(), df.columns
     for c in columns:
         value = typed(frame, c)
         if c not in plural:
@@ -159,9 +159,10 @@ def attach_values(frame: Frame, df: DataFrame, columns: list[str]) -> DataFrame:
         cells = df.select(c).where(F.col(c).isNotNull()).distinct()
         parts = cells.select(c, F.posexplode(F.split(c, ",")).alias("at", "hid")).join(value, "hid", "left")
         lists = parts.groupBy(c).agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("string").alias("value")))).alias("x"))
-        lists = lists.select(c, F.concat(F.lit("["), F.array_join("x.value", ", ", "null"), F.lit("]")).alias("__value"))
+        many = F.concat(F.lit("["), F.array_join("x.value", ", ", "null"), F.lit("]"))
+        lists = lists.select(c, F.when(F.size("x") > 1, many).otherwise(F.col("x")[0]["value"]).alias("__value"))
         df = df.join(lists, c, "left").withColumn(c, F.col("__value")).drop("__value")
-    return df
+    return df.select(*order)
 
 
 def _plural(df: DataFrame, columns: list[str]) -> set[str]:
