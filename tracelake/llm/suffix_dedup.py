@@ -8,7 +8,8 @@ cannot be built in parts, so the intervals are kept as hash groups and widened i
   2. runs of strings that share their smallest gram travel once, with the bytes around them, to the group of that gram;
   3. length `length`: within a group, strings that are equal byte for byte form the intervals of the threshold; expansion
      stops there, and every string in an interval of two or more is a repeat.
-Groups with more than `hot` occurrences never meet in one task: their strings are hashed one by one and counted by Spark.
+Groups with more than `hot` occurrences never meet in one task: their strings are hashed, counted within their run first (a
+string twice in one run is a repeat already, as in texts of one short phrase) and then, one row for each run, by Spark.
 
 Defined results: null text counts as empty; texts shorter than `length` lose nothing; copies of a whole text lose all of it
 when it is long enough; rows with a null doc_id or the same doc_id take part like any other row.
@@ -71,7 +72,11 @@ RUNS = "gram long, did long, tkey long, begin int, count int, around binary"
 
 
 def _spread(length, gram):
-    """Runs of strings under a repeated gram; strings of hot grams one by one, under the hash of the whole string."""
+    """Runs of strings under a repeated gram.
+
+    A hot gram gives instead: for each string of its run a row under the string's hash (count 0; begin -1 where the run has it
+    twice), and the stretches of strings that the run has twice (count below 0).
+    """
     schema = pa.schema([("gram", pa.int64()), ("did", pa.int64()), ("tkey", pa.int64()), ("begin", pa.int32()), ("count", pa.int32()), ("around", pa.binary())])
 
     def run(batches):
@@ -99,7 +104,9 @@ def _spread(length, gram):
                         if hot[found[j]]:
                             if whole is None:
                                 whole = gram_hashes(prefix_sums(byte_codes()[data], pw), length, pw).view(np.int64)
-                            out += [(h, at + i, lo + d, 0, None) for d, h in enumerate(whole[a + lo : a + hi].tolist())]
+                            each, first, of, times = np.unique(whole[a + lo : a + hi], return_index=True, return_inverse=True, return_counts=True)
+                            out += [(h, at + i, lo + d if t == 1 else -1, 0, None) for h, d, t in zip(each.tolist(), first.tolist(), times.tolist(), strict=True)]
+                            out += [(0, at + i, lo + int(b), int(b - e), None) for b, e in zip(*runs(times[of] > 1), strict=True)]
                         else:
                             out.append((int(heads[j]), at + i, lo, hi - lo, raw[a + lo : a + hi + length - 1]))
                 if out:
@@ -205,8 +212,9 @@ def cut_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     spans = cold.repartition("gram").sortWithinPartitions("gram").select("gram", "begin", *KEY, "count", "around").mapInArrow(_expand(length), "did long, tkey long, begin int, end int")
     if not lists.where(F.exists("hots", lambda x: x)).isEmpty():
         single = spread.where("count = 0").select("gram", *KEY, "begin")
-        again = single.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-        spans = spans.unionByName(single.join(again, "gram").select(*KEY, "begin", (F.col("begin") + 1).alias("end")))
+        again = single.groupBy("gram").agg(F.sum(F.when(F.col("begin") < 0, 2).otherwise(1)).alias("n")).where("n > 1").select("gram")
+        spans = spans.unionByName(single.where("begin >= 0").join(again, "gram").select(*KEY, "begin", (F.col("begin") + 1).alias("end")))
+        spans = spans.unionByName(spread.where("count < 0").select(*KEY, "begin", (F.col("begin") - F.col("count")).cast("int").alias("end")))
     found = spans.groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     marks = found.withColumn("copied", F.lit(False)).unionByName(copies.select(*KEY, F.lit(True).alias("copied")), allowMissingColumns=True)
     marks = materialize(marks.groupBy(*KEY).agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("copied").alias("copied")), "marks")
