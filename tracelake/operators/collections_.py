@@ -107,8 +107,9 @@ def set_cid(cids: Column) -> Column:
 
 def build_lists(elements: DataFrame, key: list[str], order: list[str], cid: str = "cid", hid: str = "hid") -> DataFrame:
     """One list for each key from its elements in order: key, elems (idx, hid, cid), cid, hid."""
-    rows = elements.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, hid, cid))).alias("x"))
-    parts = rows.select(*key, F.transform("x", lambda e, i: F.struct(F.lit(None).cast("string").alias("key"), i.alias("idx"), e[hid].alias("hid"), e[cid].alias("cid"))).alias("elems"))
+    entry = F.struct(F.struct(*order).alias("at"), F.col(hid).alias("hid"), F.col(cid).alias("cid"))
+    rows = elements.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    parts = rows.select(*key, F.transform("x", lambda e, i: F.struct(F.lit(None).cast("string").alias("key"), i.alias("idx"), e["hid"].alias("hid"), e["cid"].alias("cid"))).alias("elems"))
     return parts.select(*key, "elems", list_cid(F.col("elems.cid")).alias("cid"), list_hid(F.col("elems.hid")).alias("hid"))
 
 

@@ -334,7 +334,15 @@ class Frame:
 
     def values(self, nodes: Iterable[str] | None = None) -> DataFrame:
         """node, hid, cid, vtype, i, d, s of the variables' elements."""
-        return self.table(self.vnames if nodes is None else nodes).join(self.log.values(), "hid")
+        parts = [self.table([v]).join(self.log.values(self.kinds(v)), "hid") for v in (self.vnames if nodes is None else nodes)]
+        return union_all(parts) if parts else self.table([]).join(self.log.values(), "hid")
+
+    def kinds(self, variable: str) -> set[str] | None:
+        """What the variable can hold, where the log knows it: only the values of these are read."""
+        edges = self.in_edges(variable) + self.out_edges(variable)
+        if not hasattr(self.log, "kind") or not edges:
+            return None
+        return {self.log.kind(self.graph.ops[a if a in self.graph.ops else b], x) for a, b, x in edges}
 
     def where(self, variable: str, condition: Column | str, calls: bool = True) -> Frame:
         """Only elements of one variable whose value meets a condition over i, d, s, vtype, with the calls next to them."""

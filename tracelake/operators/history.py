@@ -175,7 +175,7 @@ def _plural(df: DataFrame, columns: list[str]) -> set[str]:
 def typed(frame: Frame, variable: str) -> DataFrame:
     """hid and value of a variable's elements, typed where all agree; lists and dicts are written as their elements' ids."""
     if hasattr(frame.log, "facts"):
-        return frame.log.atoms.select("hid", F.col("s").alias("value"))
+        return frame.log.values(frame.kinds(variable)).select("hid", F.col("s").alias("value"))
     rows = frame.values([variable])
     kinds = {r[0] for r in rows.select("vtype").distinct().collect()} - {"null"}
     column = {"int": F.col("i"), "float": F.col("d"), "bool": F.col("i").cast("boolean"), "str": F.col("s")}

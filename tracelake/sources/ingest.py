@@ -76,7 +76,9 @@ class Log:
 
     spark: SparkSession
     facts: dict[str, Fact]
-    extra_atoms: list[DataFrame] = field(default_factory=list)
+    extra_atoms: list[tuple[str, DataFrame]] = field(default_factory=list)
+    #: all facts that give values, where `facts` is a part of them
+    known: dict[str, Fact] | None = None
 
     def signature(self, op: str) -> tuple[list[str], list[str]]:
         return self.facts[op].input_names, self.facts[op].output_names
@@ -119,9 +121,10 @@ class Log:
     def wide(self, op: str) -> DataFrame:
         return self.facts[op].wide()
 
-    def values(self) -> DataFrame:
-        """hid, cid, vtype, i, d, s: the payload of each atom by history id."""
-        return self.atoms.select("hid", "cid", F.lit("str").alias("vtype"), F.lit(None).cast("long").alias("i"), "d", "s")
+    def values(self, kinds=None) -> DataFrame:
+        """hid, cid, vtype, i, d, s: the payload of each atom by history id, of some kinds or all."""
+        atoms = [x for k, x in self._atoms.items() if kinds is None or k in kinds]
+        return reduce(DataFrame.unionAll, atoms).select("hid", "cid", F.lit("str").alias("vtype"), F.lit(None).cast("long").alias("i"), "d", "s")
 
     def edges(self, ops=None) -> DataFrame:
         """call_hid, op, in_hid, out_hid: each input of a call beside each of its outputs, without a join."""
@@ -134,9 +137,24 @@ class Log:
         return reduce(DataFrame.unionAll, parts)
 
     @cached_property
+    def _atoms(self) -> dict[str, DataFrame]:
+        """Texts and measures by kind of thing."""
+        out: dict[str, list[DataFrame]] = {}
+        for f in self.known.values() if self.known else self.facts.values():
+            out.setdefault(f.output[1], []).append(f.atoms())
+        for kind, df in self.extra_atoms:
+            out.setdefault(kind, []).append(df)
+        return {k: reduce(DataFrame.unionAll, x) for k, x in out.items()}
+
+    @property
     def atoms(self) -> DataFrame:
         """cid, hid, s (the text), d (a measure, where the source has one)."""
-        return reduce(DataFrame.unionAll, [f.atoms() for f in self.facts.values()] + self.extra_atoms)
+        return reduce(DataFrame.unionAll, self._atoms.values())
+
+    def kind(self, op: str, label: str) -> str:
+        """What a label of an op holds; all its references are texts 'kind:key'."""
+        fact = self.facts[op]
+        return fact.inputs[label][0] if label in fact.inputs else fact.output[1]
 
     @property
     def refs(self) -> DataFrame:
@@ -172,7 +190,7 @@ def open_log(spark: SparkSession, sf_dir: str, ops=None) -> Log:
 
     def atoms(table, kind, key, value=None):
         k = F.col(key)
-        return table.select(entity_cid(kind, k).alias("cid"), entity_hid(kind, k).alias("hid"), F.concat(F.lit(kind + ":"), k.cast("string")).alias("s"), (F.col(value) if value else F.lit(None)).cast("double").alias("d"))
+        return kind, table.select(entity_cid(kind, k).alias("cid"), entity_hid(kind, k).alias("hid"), F.concat(F.lit(kind + ":"), k.cast("string")).alias("s"), (F.col(value) if value else F.lit(None)).cast("double").alias("d"))
 
     extra = [atoms(t("region"), "region", "r_regionkey"), atoms(t("part"), "part", "p_partkey", "p_retailprice"), atoms(t("documents"), "document", "doc_id", "n_chars"), atoms(t("events").select("user_id").distinct(), "user", "user_id")]
-    return Log(spark, every if ops is None else {o: every[o] for o in ops}, extra)
+    return Log(spark, every if ops is None else {o: every[o] for o in ops}, extra, every)

@@ -259,7 +259,7 @@ class Store:
         names = sorted(r["name"] for r in rows.select("name").distinct().collect())
         return rows.groupBy("call_hid").pivot("name", names).agg(F.first("ref_hid")) if names else rows.select("call_hid")
 
-    def values(self) -> DataFrame:
+    def values(self, kinds=None) -> DataFrame:
         """hid, cid, vtype, i, d, s: the payload of each atom by history id."""
         return self.refs.where("kind = 'atom'").select("hid", "cid").join(self.table("atoms").select("cid", "vtype", "i", "d", "s"), "cid").select("hid", "cid", "vtype", "i", "d", "s")
 
