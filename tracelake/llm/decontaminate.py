@@ -5,7 +5,8 @@ k diagonals of each other. Shared q-grams of a document and an item are counted
 every set of diagonals of that width lies in one band; bands under the lemma's bound are dropped, and the others are settled
 by an alignment banded alike, which gives the edits of the best match. Items may lose `rate` of their characters (at least 1).
 
-Texts are compared as ASCII letters in lower case, digits and bytes of other scripts, with one space for any run of the rest.
+Texts are compared as letters in lower case (ASCII, and all letters of two bytes in UTF-8: accented Latin, Greek, Cyrillic and
+others), digits and bytes of other scripts, with one space for any run of the rest.
 The benchmark is read in blocks of at most `block_bytes`, each held against all documents: memory stays bounded however large
 the benchmark grows.
 
@@ -34,10 +35,28 @@ def classes() -> np.ndarray:
     return t
 
 
+def lower_pairs() -> np.ndarray:
+    """Characters of two bytes, as one number each, to their lower case where that has two bytes as well."""
+    t = np.arange(1 << 16, dtype=np.uint16)
+    for code in range(0x80, 0x800):
+        low = chr(code).lower().encode()
+        if len(low) == 2:
+            t[int.from_bytes(chr(code).encode(), "big")] = int.from_bytes(low, "big")
+    return t
+
+
+LOWER = lower_pairs()
+
+
 def normalised(data: np.ndarray, starts: np.ndarray):
     """Normalised bytes with one space before and behind each row, the place each came from, and the rows' new starts."""
     n = len(starts) - 1
     table = classes()
+    lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF))
+    if len(lead):
+        pair = LOWER[data[lead].astype(np.uint16) << np.uint16(8) | data[lead + 1]]
+        data = data.copy()
+        data[lead], data[lead + 1] = (pair >> np.uint16(8)).astype(np.uint8), (pair & np.uint16(255)).astype(np.uint8)
     # a space stands between rows: row i begins behind i + 1 of them
     padded = np.full(len(data) + n + 1, 32, np.uint8)
     row = np.repeat(np.arange(n), np.diff(starts))
