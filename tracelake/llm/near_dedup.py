@@ -4,8 +4,10 @@ Texts with equal shingle sets form one class first, so copies cost nothing later
 orders of `DEPTH` values. Classes that share the first `ROOT` values of an order form a region; the neighbours with the
 longest common prefix, which stand next to each other in the order, and the region's head are candidates. Regions of at most
 `NEAR` + 1 classes are compared in full that way. Larger regions go deeper through the order itself, and what is left there
-is settled exactly: after the first links are confirmed, classes of one region that are still in different components are
-all compared. Two sets at the threshold share a region with probability 1 - (1 - s**4)**20 (0.9999996 at s = 0.85).
+is settled exactly once the first links are confirmed: of the classes in regions that still hold several components, those
+whose shingles are too rarely found in any other of them can have no link and go (counted by Spark, `ROUNDS` times, since what
+goes makes others rare); the others try their nearest of another component, `HOPS` times, and what is still apart is compared
+where the rarest shingles of two classes meet, which every link must. Two sets at the threshold share a region with probability 1 - (1 - s**4)**20 (0.9999996 at s = 0.85).
 A 120-bit sketch drops pairs more than 5.5 deviations below the threshold; the rest are confirmed on full sets, first one link
 per class (the most promising), then every remaining candidate between different components.
 
@@ -24,7 +26,7 @@ from pyspark.sql import Window
 
 from .common import Powers, find_words, gram_hashes, materialize, mix, prefix_sums, record_batch, shared_dir, span_hashes, text_slices, word_hashes
 
-TREES, DEPTH, ROOT, NEAR = 20, 6, 4, 3
+TREES, DEPTH, ROOT, NEAR, ROUNDS, HOPS = 20, 6, 4, 3, 2, 2
 STAR = 256
 KEY = ["did", "tkey"]
 
@@ -128,6 +130,60 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "leaf").mapInArrow(_confirm(words, percent), "a long, b long")
 
 
+def _tokens(words):
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("token", pa.int64())])
+
+    def run(batches):
+        pw = Powers()
+        for batch in batches:
+            node = batch.column(batch.schema.get_field_index("node"))
+            for at, _, data, starts in text_slices(batch):
+                sets = list(shingle_sets(data, starts, words, pw))
+                size = np.array([len(s) for s in sets])
+                yield record_batch(schema, node.take(pa.array(np.repeat(np.arange(len(sets)), size) + at)), np.repeat(size, size), np.concatenate(sets).view(np.int64))
+
+    return run
+
+
+def without_lonely(tokens: DataFrame, percent: int) -> DataFrame:
+    """tokens without the classes of which too few shingles occur in any other class: a link needs `percent` of them shared."""
+    for _ in range(ROUNDS):
+        # a token of one class alone tells the class by itself, so no join is needed to count them
+        alone = tokens.groupBy("token").agg(F.count("*").alias("classes"), F.min(F.struct("node", "n")).alias("x")).where("classes = 1")
+        lonely = alone.groupBy("x.node").agg(F.count("*").alias("own"), F.first("x.n").alias("n")).where((F.col("n") - F.col("own")) * 100 < F.col("n") * percent).select("node")
+        tokens = tokens.join(materialize(lonely, "lonely"), "node", "left_anti")
+    return materialize(tokens, "tokens")
+
+
+def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """node, n, token, place: of each class the rarest shingles, so many that two linked classes must share one of them.
+
+    Sets of at least `percent` similarity share at least that part of each, so they agree somewhere in the first
+    n - ceil(n * percent / 100) + 1 shingles of any common order; here the rarest come first, and those of one class alone
+    take places but are left out.
+    """
+    shared = tokens.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
+    order = Window.partitionBy("node").orderBy("classes", "token")
+    ranked = tokens.join(shared, "token").withColumn("rank", F.row_number().over(order)).withColumn("held", F.count("*").over(Window.partitionBy("node")))
+    ranked = ranked.withColumn("place", F.col("rank") + F.col("n") - F.col("held"))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "n", "token", "place")
+
+
+def mixed_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (tree, region, node, ...) of regions with more than one component, with their comp."""
+    members = members.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = members.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tree", "region")
+    return members.join(mixed, ["tree", "region"], "left_semi")
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links (a, b, comp_a, comp_b): only the components that the links touch are walked."""
+    small = components(links.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").withColumn("comp", F.col("node"))
+    every = comps.unionByName(new).join(small.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return materialize(every.select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (its component's smallest node) for every node of the edges (a, b)."""
     shared_dir(edges.sparkSession)
@@ -143,6 +199,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "comp")
 
 
+def other_component(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends belong to different components."""
+    pairs = pairs.drop("comp_a", "comp_b")
+    for end in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}")), end, "left")
+    return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+
+
 def near_groups(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept and the row key (did, tkey)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("did"), F.xxhash64("text").alias("tkey"))
@@ -166,18 +230,40 @@ def near_groups(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame
     stars = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
     links = materialize(confirm(stars, texts, words, percent), "links")
     comps = components(links)
-    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    apart_still = lambda df: df.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
-    rest = apart_still(pairs.select("a", "b"))
-    marked = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = marked.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tree", "region")
-    marked = marked.join(mixed, ["tree", "region"])
-    mate = marked.select("tree", "region", F.struct("node", "low", "high").alias("x"), F.col("comp").alias("other"))
-    cross = marked.join(mate, ["tree", "region"]).where(F.col("comp") < F.col("other")).where(differ(F.col("x")) <= slack).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"))
-    rest = rest.select("a", "b").unionByName(cross).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirm(materialize(rest, "rest"), texts, words, percent), "links")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
+    tested = stars.select("a", "b")
+
+    def settle(apart, comps, tested):
+        """Confirm pairs of different components (a, b, comp_a, comp_b); (components, pairs tested) after that."""
+        apart = materialize(apart.select("a", "b", "comp_a", "comp_b"), "rest")
+        more = materialize(confirm(apart.select("a", "b"), texts, words, percent), "links")
+        tested = tested.unionByName(apart.select("a", "b"))
+        return (comps, tested) if more.isEmpty() else (joined(comps, more.join(apart, ["a", "b"])), tested)
+
+    untested = lambda df: df.join(tested, ["a", "b"], "left_anti")
+    best = lambda df, *more: df.groupBy("b").agg(F.min(F.struct("differ", "a", *more)).alias("x")).select("b", *(f"x.{c}" for c in ("a", *more)))
+    couple = lambda df: df.where(differ(F.col("x")) <= slack).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"), differ(F.col("x")).alias("differ"))
+    apart = pairs
+    for _ in range(HOPS):  # each class's most alike candidate of another component, and then all that are left
+        apart = materialize(other_component(untested(apart), comps), "apart")
+        comps, tested = settle(best(apart, "comp_a", "comp_b"), comps, tested)
+    comps, tested = settle(other_component(untested(apart), comps), comps, tested)
+    marked = materialize(mixed_regions(large, comps), "marked")
+    known = texts.join(marked.select("node").distinct(), "node", "left_semi")
+    tokens = without_lonely(materialize(known.mapInArrow(_tokens(words), "node long, n int, token long"), "tokens"), percent)
+    marked = materialize(marked.join(tokens.select("node").distinct(), "node", "left_semi"), "marked")
+    for _ in range(HOPS):
+        # the nearest class before each in the order that belongs to another component; each class tries its most alike
+        turn = mixed_regions(marked, comps).withColumn("x", F.when(F.lag("comp").over(order) != F.col("comp"), F.lag(me).over(order)))
+        next_ = best(couple(turn.withColumn("x", F.last("x", ignorenulls=True).over(order)).where("x is not null")))
+        comps, tested = settle(other_component(untested(next_), comps), comps, tested)
+    nodes = mixed_regions(marked, comps).select("node", "comp", "low", "high").distinct()
+    part = materialize(prefixes(tokens, percent).join(nodes, "node"), "prefixes")
+    mate = part.select("token", F.struct("node", "low", "high").alias("x"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
+    # where the first shingle that two classes share stands, no more than what follows it can be shared
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    alike = (F.col("comp") < F.col("other")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (differ(F.col("x")) <= slack)
+    last = couple(part.join(mate, (part.token == mate.token) & alike)).select("a", "b").distinct()
+    comps, _ = settle(other_component(untested(last), comps), comps, tested)
     lows = comps.join(classes.select("node", "lo"), "node")
     group = lows.groupBy("comp").agg(F.min("lo").alias("component_id"))
     final = classes.select("node", "lo").join(comps.join(group, "comp").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "lo").alias("component_id"))
