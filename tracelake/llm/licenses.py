@@ -3,7 +3,9 @@
 DataFrame functions only. Text and templates are normalised alike: lower case, runs of anything but letters, digits and dots
 become one space, dots at a word's end go. A coefficient of at least `least` bounds the sizes: with t template bigrams, a line
 has between t * least / (2 - least) and t * (2 - least) / least of them, so each line meets only the templates of its size and
-lines of no template's size are dropped before any bigram is made. Templates are a fixed list, held in the plan.
+lines of no template's size are dropped before any bigram is made. The same bound says how many of a template's bigrams a line
+may lack, and so words of which it must have one: texts and lines without any of them go first. Templates are a fixed list, held
+in the plan.
 
 Defined results: null or empty text has no lines; a document has one row for each licence it matches, with its best line;
 texts of one word have no bigrams and match nothing; rows that share a doc_id are one document.
@@ -11,6 +13,8 @@ texts of one word have no bigrams and match nothing; rows that share a doc_id ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +48,43 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def needed_words(forms: list[list[str]], least: float) -> list[str]:
+    """Words of which every line at least `least` alike to one of the forms (word lists) holds one.
+
+    At least t * least / (2 - least) of a form's t bigrams are in such a line; words that would take more than the rest of
+    them away cannot all be missing.
+    """
+    chosen: list[str] = []
+    for words in forms:
+        grams = set(zip(words, words[1:], strict=False))
+        spare, gone = len(grams) - len(grams) * least / (2 - least) + 1e-9, set()
+        for w in sorted(set(words), key=lambda w: (w not in chosen, -len(w), w)):
+            if len(gone) > spare:
+                break
+            gone |= {g for g in grams if w in g}
+            if w not in chosen:
+                chosen.append(w)
+    return chosen
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, license, dice, n_lines, line: one row for each document and licence with a line at least `least` alike."""
     spark = docs.sparkSession
     forms = [(name, t) for name, texts in (TEMPLATES if templates is None else templates).items() for t in texts]
-    known = spark.createDataFrame(forms, "license string, form string").select("license", bigrams(F.split(normal(F.col("form")), " ")).alias("grams")).withColumn("t", F.size("grams")).where("t > 0")
-    if not forms:
+    known = spark.createDataFrame(forms, "license string, form string").select("license", F.split(normal(F.col("form")), " ").alias("words"))
+    known = known.select("license", "words", bigrams(F.col("words")).alias("grams")).withColumn("t", F.size("grams")).where("t > 0")
+    held = known.select("words", "t").collect()  # the fixed list of templates
+    if not held:
         return docs.select(F.col("doc_id"), F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_lines"), F.lit("").alias("line")).where("false")
-    low, high = F.col("t") * least / (2 - least), F.col("t") * (2 - least) / least
-    bounds = known.agg(F.min(low).alias("lo"), F.max(high).alias("hi")).first()
-    if bounds["lo"] is None:
-        bounds = {"lo": 1.0, "hi": 0.0}
-    lines = docs.select("doc_id", F.explode(F.split("text", r"[\r\n]+")).alias("line"))
+    known, low, high = known.drop("words"), F.col("t") * least / (2 - least), F.col("t") * (2 - least) / least
+    bounds = {"lo": min(r["t"] for r in held) * least / (2 - least), "hi": max(r["t"] for r in held) * (2 - least) / least}
+    keys = needed_words([r["words"] for r in held], least)
+    texts = docs.select("doc_id", "text").where(holds_any(F.lower("text"), keys))
+    lines = texts.select("doc_id", F.explode(F.split("text", r"[\r\n]+")).alias("line")).where(holds_any(F.lower("line"), keys))
     # a line with fewer words than the smallest bound, or one too long in characters to hold few words, makes no bigrams;
     # repeated bigrams only lower the count, so no upper bound is laid on words here
     lines = lines.where(F.length("line") > 2 * bounds["lo"])
