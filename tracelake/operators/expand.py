@@ -14,18 +14,28 @@ from ..sources.shared import spill
 from .frame import Frame, union_all
 
 
+def _able(frame: Frame, side: str, variables: list[str]) -> list[str] | None:
+    """The ops that can make or use what the variables hold, where the log knows; None for all."""
+    kinds = [frame.kinds(v) for v in variables]
+    if any(k is None for k in kinds):
+        return None
+    held = set().union(*kinds)
+    labels = {o: frame.log.signature(o)[side == "out"] for o in frame.log.op_names}
+    return [o for o, names in labels.items() if any(frame.log.kind(o, x) in held for x in names)]
+
+
 def _candidates(frame: Frame, direction: str, variables: list[str]) -> tuple[DataFrame, str]:
     """op and call_hid of the calls to attach, and the side on which they meet the frame."""
     ends = frame.source_elts() if direction == "back" else frame.sink_elts()
     roots = union_all(ends[v] for v in variables).distinct().select(F.col("hid").alias("ref_hid"))
     side = "out" if direction == "back" else "in"
-    return frame.log.io(None, side).join(roots, "ref_hid", "left_semi").select("op", "call_hid").distinct(), side
+    return frame.log.io(_able(frame, side, variables), side).join(roots, "ref_hid", "left_semi").select("op", "call_hid").distinct(), side
 
 
 def _groups(frame: Frame, calls: DataFrame, side: str, variables: list[str]) -> DataFrame:
     """op, call_hid and signature: for each label on the side, the variables that hold the call's references."""
     held = frame.table(variables).select("node", F.col("hid").alias("ref_hid"))
-    rows = frame.log.io(None, side).select("call_hid", "label", "ref_hid").join(calls.select("call_hid"), "call_hid", "left_semi").join(held, "ref_hid")
+    rows = frame.log.io(_able(frame, side, variables), side).select("call_hid", "label", "ref_hid").join(calls.select("call_hid"), "call_hid", "left_semi").join(held, "ref_hid")
     shape = rows.groupBy("call_hid").agg(F.array_sort(F.collect_set(F.struct("label", "node"))).alias("signature"))
     return calls.join(shape, "call_hid").select("op", "call_hid", "signature")
 
@@ -39,11 +49,12 @@ def step(frame: Frame, direction: str, variables: list[str], skip_existing: bool
         calls = calls.join(frame.calls_by_func().select(F.col("hid").alias("call_hid")), "call_hid", "left_anti")
     found = spill(_groups(frame, calls, side, variables), by="op", name="groups")
     signatures = sorted({(r["op"], tuple((x["label"], x["node"]) for x in r["signature"])) for r in found.select("op", "signature").distinct().collect()})
+    before = frame.elts
     for op, signature in signatures:
         same = F.col("signature") == F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("node")) for a, b in signature])
         group = found.where(F.col("op") == op).where(same).select(F.col("call_hid").alias("hid"))
         frame = _attach(frame, op, signature, group, side, reuse)
-    return frame.pinned() if signatures else frame
+    return frame.pinned(n for n, x in frame.elts.items() if x is not before.get(n)) if signatures else frame
 
 
 def _attach(frame: Frame, op: str, signature, group: DataFrame, side: str, reuse: bool) -> Frame:
@@ -58,14 +69,16 @@ def _attach(frame: Frame, op: str, signature, group: DataFrame, side: str, reuse
     other, labels = ("in", inputs) if side == "out" else ("out", outputs)
     connected = {e[2] for e in (graph.in_edges(f) if other == "in" else graph.out_edges(f))}
     members = group.withColumnRenamed("hid", "call_hid")
-    for label in labels:
-        if label in connected:
+    new = {x: frame.log.link(op, other, x).join(members, "call_hid", "left_semi").select(F.col("ref_hid").alias("hid")) for x in labels if x not in connected}
+    overlaps = _overlaps({v: elts[v] for v in graph.variables} if reuse else {}, new) if new else {}
+    for label, refs in new.items():
+        total = overlaps.get((label, ""), 0)
+        if not total:  # the op has such an argument, but no call of this group
             continue
-        refs = frame.log.link(op, other, label).join(members, "call_hid", "left_semi").select(F.col("ref_hid").alias("hid")).distinct()
-        v = _holding(elts, sorted(graph.variables), refs) if reuse else None
+        v = None
+        if reuse:  # the first variable that contains all the references, or is not empty and contained in them
+            v = next((v for v in sorted(frame.graph.variables) if overlaps.get((label, v), 0) in (total, overlaps.get(("", v), -1)) and overlaps.get((label, v))), None)
         if v is None:
-            if refs.isEmpty():  # the op has such an argument, but no call of this group
-                continue
             v = Frame(frame.log, graph, elts).get_new_vname(label)
             graph, elts[v] = graph.adding(variables=[v]), refs.limit(0)
         graph = graph.adding(edges=[(v, f, label) if other == "in" else (f, v, label)])
@@ -73,20 +86,14 @@ def _attach(frame: Frame, op: str, signature, group: DataFrame, side: str, reuse
     return out.add_calls(f, group)
 
 
-def _holding(elts: dict[str, DataFrame], variables: list[str], refs: DataFrame) -> str | None:
-    """The first variable that contains all the references, or is not empty and contained in them."""
-    if not variables:
-        return None
-    parts = [elts[v].select(F.lit(v).alias("node"), "hid") for v in variables]
-    rows = union_all([refs.select(F.lit(None).cast("string").alias("node"), "hid"), *parts])
-    # one aggregate by id tells which are wanted, one by node how many of each are
-    flagged = rows.groupBy("hid").agg(F.max(F.col("node").isNull()).alias("wanted"), F.collect_set("node").alias("nodes"))
-    counts = flagged.select("wanted", F.explode_outer("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("n"), F.count_if("wanted").alias("both")).collect()
-    total = flagged.where("wanted").count()
-    if not total:
-        return None
-    size = {r["node"]: (r["n"], r["both"]) for r in counts if r["node"] is not None}
-    return next((v for v in variables if v in size and (size[v][1] == total or size[v][1] == size[v][0])), None)
+def _overlaps(variables: dict[str, DataFrame], refs: dict[str, DataFrame]) -> dict[tuple[str, str], int]:
+    """How many references of each label each variable holds; "" stands for all labels or all variables. One job."""
+    none = F.lit(None).cast("string")
+    rows = [x.select("hid", F.lit(label).alias("label"), none.alias("node")) for label, x in refs.items()] + [x.select("hid", none, F.lit(v)) for v, x in variables.items()]
+    by_hid = union_all(rows).groupBy("hid").agg(F.collect_set("label").alias("labels"), F.collect_set("node").alias("nodes"))
+    every = lambda c: F.explode(F.concat(c, F.array(F.lit(""))))
+    pairs = by_hid.select(every("labels").alias("label"), "nodes").select("label", every("nodes").alias("node"))
+    return {(r["label"], r["node"]): r["count"] for r in pairs.groupBy("label", "node").count().collect()}
 
 
 def expand(frame: Frame, direction: str, varnames=None, recursive: bool = False, skip_existing: bool = False, reuse: bool = True) -> Frame:

@@ -138,10 +138,11 @@ class Frame:
         nodes = self.nodes if nodes is None else list(nodes)
         return {n: 0 for n in nodes} | {r["node"]: r["count"] for r in self.table(nodes).groupBy("node").count().collect()}
 
-    def pinned(self) -> Frame:
-        """The elements written to the shared folder by node: later operators start from there."""
-        kept = shared.spill(self.table(), by="node", name="elts")
-        return self._with(elts={n: kept.where(F.col("node") == n).select("hid") for n in self.nodes})
+    def pinned(self, nodes: Iterable[str] | None = None) -> Frame:
+        """The elements (of some nodes) written to the shared folder by node: later operators start from there."""
+        nodes = self.nodes if nodes is None else sorted(nodes)
+        kept = shared.spill(self.table(nodes), by="node", name="elts")
+        return self._with(elts=self.elts | {n: kept.where(F.col("node") == n).select("hid") for n in nodes})
 
     def __getitem__(self, nodes) -> Frame:
         return self.select_nodes([nodes] if isinstance(nodes, str) else list(nodes))
@@ -306,7 +307,9 @@ class Frame:
                 raise ValueError(f"{f} means different things in the two frames")
         graph = Graph(self.graph.variables | other.graph.variables, (), self.graph.edges | other.graph.edges).with_ops(ops)
         elts = {n: self.elts[n].unionAll(other.elts[n]).distinct() if n in self.elts and n in other.elts else self.elts.get(n, other.elts.get(n)) for n in graph.nodes}
-        same = self.closed and other.closed and self.graph.edges == other.graph.edges
+        # a function whose edges are the same wherever it stands keeps what `closed` says
+        alike = all(set(x.graph.in_edges(f) + x.graph.out_edges(f)) == set(graph.in_edges(f) + graph.out_edges(f)) for x in (self, other) for f in x.graph.ops)
+        same = self.closed and other.closed and alike
         out = self._with(graph, elts, self.whole | other.whole, same)
         return out if same else out.check()._with(closed=True)
 

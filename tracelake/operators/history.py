@@ -3,8 +3,8 @@
 A cell holds a history id, or several joined by commas in sorted order where a variable gives more than one (lists, cycles,
 several paths). Cells are text either way, so tables join on them. Joins are null-safe: missing parts match missing parts.
 
-Where each ancestor is reached by one path and labels are single-valued, a history is a chain of left joins with the wide
-tables of the calls. Otherwise (root, node, element) triples are closed over the graph and pivoted.
+Where the graph has no cycle above a variable, few paths and single-valued labels, a history is a chain of left joins with the
+wide tables of the calls. Otherwise (root, node, element) triples are closed over the graph and pivoted.
 """
 
 from __future__ import annotations
@@ -19,40 +19,44 @@ from ..sources.shared import cut
 from .frame import Frame, union_all
 from .reach import wide
 
+#: Joins of wide tables in one plan, at most; beyond it triples are closed.
+PATHS = 48
 
-def _single_path(frame: Frame, variable: str) -> set[str] | None:
-    """The ancestors of a variable, or None where some node is reached in more than one way."""
-    nodes = frame.graph.reachable([variable], "back")
-    part = frame.graph.keeping(nodes)
-    if not part.acyclic or any(len(part.out_edges(n)) != 1 for n in nodes if n != variable):
-        return None
-    if any(frame.log.plural(part.ops[f], e[2]) for f in part.ops for e in part.in_edges(f) + part.out_edges(f)):
+
+def _paths(frame: Frame, variable: str) -> int | None:
+    """How many nodes stand on all backward paths from a variable, or None where paths are endless or labels plural."""
+    part = frame.graph.keeping(frame.graph.reachable([variable], "back"))
+    if not part.acyclic or any(frame.log.plural(part.ops[f], e[2]) for f in part.ops for e in part.in_edges(f) + part.out_edges(f)):
         return None
-    return nodes
+    count: dict[str, int] = {}
+    for n in part.order():
+        count[n] = 1 + sum(count[e[0]] for e in part.in_edges(n))
+    return count[variable]
 
 
 def _chain(frame: Frame, variable: str) -> DataFrame:
-    out = frame.elts[variable].select(F.col("hid").alias(variable))
-    todo = [variable]
+    """Left joins with the calls' wide tables along every path; the columns of a node on several paths are merged at the end."""
+    out, columns, todo = frame.elts[variable].select(F.col("hid").alias("0")), {variable: ["0"]}, [(variable, "0")]
+    taken = 1
     while todo:
-        v = todo.pop()
-        for _, (f, _, label) in ((e[0], e) for e in frame.in_edges(v)):
+        v, at = todo.pop()
+        for f, _, label in frame.in_edges(v):
             ins = frame.in_edges(f)
-            made = wide(frame, f, "out", [label])
-            if ins:
-                labels = sorted({e[2] for e in ins})
-                if hasattr(frame.log, "facts"):
-                    rows = frame.log.wide(frame.graph.ops[f])
-                    made = (rows if f in frame.whole else rows.join(frame.elts[f].withColumnRenamed("hid", "call_hid"), "call_hid", "left_semi")).select("call_hid", label, *labels)
-                else:
-                    made = made.join(wide(frame, f, "in", labels), "call_hid", "left")
-            made = made.select(F.col("call_hid").alias(f), F.col(label).alias(v), *[F.col(x).alias(u) for u, _, x in ins])
+            made = wide(frame, f, None, sorted({label, *(e[2] for e in ins)}))
+            names = [str(taken + i) for i in range(len(ins) + 1)]
+            taken += len(names)
+            made = made.select(F.col("call_hid").alias(names[0]), F.col(label).alias("made"), *[F.col(e[2]).alias(n) for e, n in zip(ins, names[1:], strict=True)])
             if not frame.closed:
-                for u, _, _ in ins:
-                    made = made.join(frame.elts[u].select(F.col("hid").alias(u), F.lit(True).alias("__in")), u, "left").withColumn(u, F.when(F.col("__in"), F.col(u))).drop("__in")
-            out = out.join(made, v, "left")
-            todo += [u for u, _, _ in ins]
-    return out
+                for (u, _, _), n in zip(ins, names[1:], strict=True):
+                    made = made.join(frame.elts[u].select(F.col("hid").alias(n), F.lit(True).alias("there")), n, "left").withColumn(n, F.when(F.col("there"), F.col(n))).drop("there")
+            out = out.join(made, F.col(at) == F.col("made"), "left").drop("made")
+            columns.setdefault(f, []).append(names[0])
+            for (u, _, _), n in zip(ins, names[1:], strict=True):
+                columns.setdefault(u, []).append(n)
+                todo.append((u, n))
+    several = lambda names: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ",")
+    cells = {n: F.col(c[0]) if len(c) == 1 else F.when(F.coalesce(*c).isNotNull(), several(c)) for n, c in columns.items()}
+    return out.select(*[cells[n].alias(n) for n in frame.sort_nodes(cells)])
 
 
 def closure(frame: Frame, variable: str) -> DataFrame:
@@ -87,9 +91,9 @@ def closure(frame: Frame, variable: str) -> DataFrame:
 
 def history(frame: Frame, variable: str) -> DataFrame:
     """One row for each element of a variable: columns for it and all its ancestors, calls included."""
-    nodes = _single_path(frame, variable)
-    if nodes is not None:
-        return _chain(frame, variable).select(*frame.sort_nodes(nodes))
+    paths = _paths(frame, variable)
+    if paths is not None and paths <= PATHS:
+        return _chain(frame, variable)
     nodes = frame.sort_nodes(frame.graph.reachable([variable], "back"))
     rows = closure(frame, variable).groupBy("root").pivot("node", nodes).agg(F.array_join(F.array_sort(F.collect_set("hid")), ","))
     return rows.select(*[F.when(F.col(n) != "", F.col(n)).alias(n) for n in nodes])

@@ -17,8 +17,8 @@ def _hid(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.col("hid").alias(name))
 
 
-def wide(frame: Frame, f: str, direction: str, labels: list[str]) -> DataFrame:
-    """call_hid and one column for each label of a function node; null where a call has no such argument."""
+def wide(frame: Frame, f: str, direction: str | None, labels: list[str]) -> DataFrame:
+    """call_hid and one column for each label of a function node (of one side or both); null where a call lacks it."""
     op = frame.graph.ops[f]
     if hasattr(frame.log, "facts"):
         rows = frame.log.wide(op).select("call_hid", *labels)
