@@ -24,30 +24,35 @@ def _able(frame: Frame, side: str, variables: list[str]) -> list[str] | None:
     return [o for o, names in labels.items() if any(frame.log.kind(o, x) in held for x in names)]
 
 
-def _candidates(frame: Frame, direction: str, variables: list[str]) -> tuple[DataFrame, str]:
-    """op and call_hid of the calls to attach, and the side on which they meet the frame."""
-    ends = frame.source_elts() if direction == "back" else frame.sink_elts()
-    roots = union_all(ends[v] for v in variables).distinct().select(F.col("hid").alias("ref_hid"))
-    side = "out" if direction == "back" else "in"
-    return frame.log.io(_able(frame, side, variables), side).join(roots, "ref_hid", "left_semi").select("op", "call_hid").distinct(), side
-
-
-def _groups(frame: Frame, calls: DataFrame, side: str, variables: list[str]) -> DataFrame:
-    """op, call_hid and signature: for each label on the side, the variables that hold the call's references."""
-    held = frame.table(variables).select("node", F.col("hid").alias("ref_hid"))
-    rows = frame.log.io(_able(frame, side, variables), side).select("call_hid", "label", "ref_hid").join(calls.select("call_hid"), "call_hid", "left_semi").join(held, "ref_hid")
-    shape = rows.groupBy("call_hid").agg(F.array_sort(F.collect_set(F.struct("label", "node"))).alias("signature"))
-    return calls.join(shape, "call_hid").select("op", "call_hid", "signature")
+def _groups(frame: Frame, direction: str, variables: list[str]) -> DataFrame:
+    """op, call_hid and signature of the calls to attach: for each label, the variables that hold the call's references.
+
+    One pass over one side of the log: a call counts when any of its references is an end of the frame.
+    """
+    side, edge = ("out", "dst") if direction == "back" else ("in", "src")
+    held = []
+    for v in variables:
+        edges = frame.in_edges(v) if direction == "back" else frame.out_edges(v)
+        rows = frame.elts[v].select(F.lit(v).alias("node"), F.col("hid").alias("ref_hid"))
+        if edges:
+            touched = union_all(frame.pairs(e).select(F.col(edge).alias("ref_hid")) for e in edges).distinct().withColumn("inner", F.lit(True))
+            rows = rows.join(touched, "ref_hid", "left").select("node", "ref_hid", F.col("inner").isNull().alias("end"))
+        else:
+            rows = rows.withColumn("end", F.lit(True))
+        held.append(rows)
+    rows = frame.log.io(_able(frame, side, variables), side, fields=("op", "call_hid", "label", "ref_hid")).join(union_all(held), "ref_hid")
+    shape = rows.groupBy("op", "call_hid").agg(F.array_sort(F.collect_set(F.struct("label", "node"))).alias("signature"), F.max("end").alias("end"))
+    return shape.where("end").select("op", "call_hid", "signature")
 
 
 def step(frame: Frame, direction: str, variables: list[str], skip_existing: bool, reuse: bool) -> Frame:
     variables = [v for v in frame.vnames if v in set(variables)]
     if not variables:
         return frame
-    calls, side = _candidates(frame, direction, variables)
+    side, calls = "out" if direction == "back" else "in", _groups(frame, direction, variables)
     if skip_existing and frame.fnames:
         calls = calls.join(frame.calls_by_func().select(F.col("hid").alias("call_hid")), "call_hid", "left_anti")
-    found = spill(_groups(frame, calls, side, variables), by="op", name="groups")
+    found = spill(calls.select("op", "call_hid", "signature"), by="op", name="groups")
     signatures = sorted({(r["op"], tuple((x["label"], x["node"]) for x in r["signature"])) for r in found.select("op", "signature").distinct().collect()})
     before = frame.elts
     for op, signature in signatures:
@@ -69,7 +74,11 @@ def _attach(frame: Frame, op: str, signature, group: DataFrame, side: str, reuse
     other, labels = ("in", inputs) if side == "out" else ("out", outputs)
     connected = {e[2] for e in (graph.in_edges(f) if other == "in" else graph.out_edges(f))}
     members = group.withColumnRenamed("hid", "call_hid")
-    new = {x: frame.log.link(op, other, x).join(members, "call_hid", "left_semi").select(F.col("ref_hid").alias("hid")) for x in labels if x not in connected}
+    # all that the group's calls touch, by one pass over the op's rows
+    touched = frame.log.io([op], fields=("call_hid", "direction", "label", "ref_hid")).join(members, "call_hid", "left_semi")
+    touched = spill(touched.select("direction", "label", F.col("ref_hid").alias("hid")).distinct(), by="label", name="touched")
+    refs_of = lambda d, x: touched.where((F.col("label") == x) & (F.col("direction") == d)).select("hid")
+    new = {x: refs_of(other, x) for x in labels if x not in connected}
     overlaps = _overlaps({v: elts[v] for v in graph.variables} if reuse else {}, new) if new else {}
     for label, refs in new.items():
         total = overlaps.get((label, ""), 0)
@@ -82,8 +91,11 @@ def _attach(frame: Frame, op: str, signature, group: DataFrame, side: str, reuse
             v = Frame(frame.log, graph, elts).get_new_vname(label)
             graph, elts[v] = graph.adding(variables=[v]), refs.limit(0)
         graph = graph.adding(edges=[(v, f, label) if other == "in" else (f, v, label)])
+    parts: dict[str, list[DataFrame]] = {f: [group]}
+    for a, b, x in graph.in_edges(f) + graph.out_edges(f):
+        parts.setdefault(a if b == f else b, []).append(refs_of("in" if b == f else "out", x))
     out = frame._with(graph, elts, frame.whole - {f})
-    return out.add_calls(f, group)
+    return out._with(elts=out._more({n: union_all(p) for n, p in parts.items()}))
 
 
 def _overlaps(variables: dict[str, DataFrame], refs: dict[str, DataFrame]) -> dict[tuple[str, str], int]:

@@ -18,15 +18,15 @@ def _one(df: DataFrame, name: str) -> DataFrame:
 
 def creators(log, refs: DataFrame, ops=None) -> DataFrame:
     """call_hid of the calls that made any of the references."""
-    return log.io(ops, "out").join(_one(refs, "ref_hid"), "ref_hid", "left_semi").select("call_hid").distinct()
+    return log.io(ops, "out", fields=("call_hid", "ref_hid")).join(_one(refs, "ref_hid"), "ref_hid", "left_semi").select("call_hid").distinct()
 
 
 def consumers(log, refs: DataFrame, ops=None) -> DataFrame:
-    return log.io(ops, "in").join(_one(refs, "ref_hid"), "ref_hid", "left_semi").select("call_hid").distinct()
+    return log.io(ops, "in", fields=("call_hid", "ref_hid")).join(_one(refs, "ref_hid"), "ref_hid", "left_semi").select("call_hid").distinct()
 
 
 def _side(log, calls: DataFrame, direction: str, ops) -> DataFrame:
-    return log.io(ops, direction).join(_one(calls, "call_hid"), "call_hid", "left_semi").select("ref_hid").distinct()
+    return log.io(ops, direction, fields=("call_hid", "ref_hid")).join(_one(calls, "call_hid"), "call_hid", "left_semi").select("ref_hid").distinct()
 
 
 def inputs_of(log, calls: DataFrame, ops=None) -> DataFrame:
@@ -39,26 +39,26 @@ def outputs_of(log, calls: DataFrame, ops=None) -> DataFrame:
 
 def get_calls(log, calls: DataFrame, ops=None) -> DataFrame:
     """call_hid, op, inputs, outputs: each call asked for, with its references by name."""
-    rows = log.io(ops).join(_one(calls, "call_hid"), "call_hid", "left_semi")
+    rows = log.io(ops, fields=("call_hid", "op", "name", "direction", "ref_hid")).join(_one(calls, "call_hid"), "call_hid", "left_semi")
     side = lambda d: F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.struct("name", "ref_hid")))))
     return rows.groupBy("call_hid", "op").agg(side("in").alias("inputs"), side("out").alias("outputs"))
 
 
 def existing_calls(log, calls: DataFrame) -> DataFrame:
-    return _one(calls, "call_hid").join(log.io().select("call_hid"), "call_hid", "left_semi")
+    return _one(calls, "call_hid").join(log.io(fields=["call_hid"]), "call_hid", "left_semi")
 
 
 def existing_contents(log, contents: DataFrame) -> DataFrame:
-    return _one(contents, "call_cid").join(log.io().select("call_cid"), "call_cid", "left_semi")
+    return _one(contents, "call_cid").join(log.io(fields=["call_cid"]), "call_cid", "left_semi")
 
 
 def existing_refs(log, refs: DataFrame) -> DataFrame:
-    return _one(refs, "ref_hid").join(log.io().select("ref_hid"), "ref_hid", "left_semi")
+    return _one(refs, "ref_hid").join(log.io(fields=["ref_hid"]), "ref_hid", "left_semi")
 
 
 def count_calls(log, ops=None) -> DataFrame:
     """op and its number of calls."""
-    return log.io(ops, "out").groupBy("op").agg(F.countDistinct("call_hid").alias("calls"))
+    return log.io(ops, "out", fields=("op", "call_hid")).groupBy("op").agg(F.countDistinct("call_hid").alias("calls"))
 
 
 def closure(log, refs: DataFrame | None, calls: DataFrame | None, back: bool, ops=None) -> tuple[DataFrame, DataFrame]:
@@ -103,14 +103,14 @@ def dependents_sql(log, refs: DataFrame, depth: int, ops=None) -> DataFrame:
 
 def orphans(log) -> DataFrame:
     """hid of references that stand in no call."""
-    return log.refs.select("hid").distinct().join(log.io().select(F.col("ref_hid").alias("hid")), "hid", "left_anti")
+    return log.refs.select("hid").distinct().join(log.io(fields=["ref_hid"]).toDF("hid"), "hid", "left_anti")
 
 
 def unreferenced(store) -> DataFrame:
     """cid of payloads that no call and no reference names."""
     atoms = store.table("atoms").select("cid").distinct()
     parts = store.refs.select(F.explode("elems").alias("e")).select(F.col("e.cid").alias("cid"))
-    used = store.refs.select("cid").unionAll(parts).unionAll(store.io().select(F.col("ref_cid").alias("cid")))
+    used = store.refs.select("cid").unionAll(parts).unionAll(store.io(fields=["ref_cid"]).toDF("cid"))
     return atoms.join(used, "cid", "left_anti")
 
 
@@ -130,7 +130,7 @@ def remaining(log, calls: DataFrame, delete_dependents: bool = True, ops=None) -
 
 def collect_garbage(store) -> None:
     """Rewrite refs without orphans (elements of a kept list or dict stay), then atoms without what nothing names."""
-    used = store.io().select(F.col("ref_hid").alias("hid"))
+    used = store.io(fields=["ref_hid"]).toDF("hid")
     live = used.distinct()
     frontier = live
     while True:  # elements of live lists and dicts, level by level

@@ -12,7 +12,7 @@ from ..operators import collections_, describe, provenance
 from ..operators.frame import Frame
 from ..operators.memo import Storage
 from ..operators.model import NewArgDefault, op
-from ..sources.ingest import line_key, open_log
+from ..sources.ingest import line_key, open_log, read
 from .twins import FACTS, LINE, TRADE, call, cid, hid, io, ref, rows, union, wide
 
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ def query(oracle: str | None):
 
 
 def table(spark, sf_dir, name) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def trade(spark, sf_dir):

@@ -65,6 +65,20 @@ class Fact:
         )
         return out.distinct() if self.repeats else out
 
+    def entries(self, names: list[str], fields: list[str]) -> DataFrame:
+        """Rows of several names by one scan; the call's id is computed once for all, other fields only where asked for."""
+        of = {n: self.inputs[n] if n in self.inputs else self.output[1:] for n in names}
+        each = {"name": lambda n: F.lit(n), "label": lambda n: F.lit(n), "direction": lambda n: F.lit("in" if n in self.inputs else "out"), "ref_cid": lambda n: entity_cid(*of[n]), "ref_hid": lambda n: entity_hid(*of[n])}
+        once = {"call_hid": lambda: self._key("fact", entity_hid), "call_cid": lambda: self._key("factc", entity_cid), "op": lambda: F.lit(self.op), "semantic_version": lambda: F.lit(None).cast("string"), "content_version": lambda: F.lit(None).cast("string")}
+        inner = [c for c in fields if c in each]
+        whole = [once[c]().alias(c) for c in fields if c in once]
+        if len(names) == 1 or not inner:
+            out = self.rows.select(*whole, *[each[c](names[0]).alias(c) for c in inner])
+        else:
+            out = self.rows.select(*whole, F.explode(F.array(*[F.struct(*[each[c](n).alias(c) for c in inner]) for n in names])).alias("x")).select(*[c for c in fields if c in once], *[f"x.{c}" for c in inner])
+        out = out.select(*fields)
+        return out.distinct() if self.repeats else out
+
     def atoms(self) -> DataFrame:
         _, kind, key = self.output
         return self.rows.select(entity_cid(kind, key).alias("cid"), entity_hid(kind, key).alias("hid"), F.concat(F.lit(kind + ":"), key.cast("string")).alias("s"), (self.value if self.value is not None else F.lit(None)).cast("double").alias("d"))
@@ -87,17 +101,17 @@ class Log:
     def op_names(self) -> list[str]:
         return sorted(self.facts)
 
-    def io(self, ops=None, direction: str | None = None, names=None) -> DataFrame:
-        """Rows of the log with `label`, the edge that a name belongs to; only the branches asked for are planned."""
-        parts = []
+    def io(self, ops=None, direction: str | None = None, names=None, fields=None) -> DataFrame:
+        """Rows of the log with `label`, the edge that a name belongs to: one scan for each op, of the fields asked for."""
+        fields, parts = list(fields or IO), []
         for op in self.op_names if ops is None else sorted(set(ops) & set(self.facts)):
             fact = self.facts[op]
-            for name in ([] if direction == "out" else fact.input_names) + ([] if direction == "in" else fact.output_names):
-                if names is None or name in names:
-                    parts.append(fact.branch(name))
+            own = [n for n in ([] if direction == "out" else fact.input_names) + ([] if direction == "in" else fact.output_names) if names is None or n in names]
+            if own:
+                parts.append(fact.entries(own, fields))
         if not parts:
             first = next(iter(self.facts.values()))
-            return first.branch(first.output[0]).where("false")
+            return first.entries([first.output[0]], fields).where("false")
         return reduce(DataFrame.unionAll, parts)
 
     @property
@@ -161,12 +175,23 @@ class Log:
         return self.atoms.select("hid", "cid").distinct()
 
 
+#: Below so many bytes for each core of the session a table is dealt out; above, its files have enough parts of their own.
+SMALL = 32 << 20
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; a small one, which may be a single row group, over all cores."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 1 << 20 < size < SMALL * cores else df
+
+
 def line_key() -> Column:
     return F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.col("l_shipdate").cast("date").cast("string"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> dict[str, Fact]:
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = lambda name: read(spark, sf_dir, name)
     c = F.col
     turns = t("conversations").where("turn > 0")
     turn = lambda at: F.concat_ws(".", c("conv_id"), at)

@@ -239,13 +239,14 @@ class Store:
         """Whether a call can have several references under this label."""
         return op == MAKE_LIST and label == "elts"
 
-    def io(self, ops: Iterable[str] | None = None, direction: str | None = None, names=None) -> DataFrame:
+    def io(self, ops: Iterable[str] | None = None, direction: str | None = None, names=None, fields=None) -> DataFrame:
         df = self.calls_io.withColumn("label", label_of(F.col("op"), F.col("name")))
         if ops is not None:
             df = df.where(F.col("op").isin(*ops)) if list(ops) else df.where("false")
         if direction:
             df = df.where(F.col("direction") == direction)
-        return df.where(F.col("name").isin(*names)) if names is not None else df
+        df = df.where(F.col("name").isin(*names)) if names is not None else df
+        return df.select(*fields) if fields else df
 
     def edges(self, ops: Iterable[str] | None = None) -> DataFrame:
         """call_hid, op, in_hid, out_hid: each input of a call beside each of its outputs."""
