@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, secret scans, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the one before kept; all but the last return the columns of
-documents. `run` applies them to the table documents. SQL cannot express the learned stages, so ORACLE_SQL is None and the
+documents, whatever else these hold. Rows that repeat share their fate; a null doc_id is never a duplicate; null and empty texts
+go with language ID; empty tables give empty tables. `run` applies them to the table documents. SQL cannot express the learned stages, so ORACLE_SQL is None and the
 tests hold the stages against brute force.
 """
 
@@ -19,8 +20,9 @@ def language_id(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """Keeps the smallest doc_id of each group of documents linked at five-word shingles and similarity 0.8 or more."""
     kept = near_dedup.near_groups(docs, words=5, percent=80).where("kept").select(*near_dedup.KEY).distinct()
-    rows = docs.withColumns({"did": F.xxhash64("doc_id"), "tkey": F.xxhash64("text")})
-    return rows.join(materialize(kept, "kept").hint("shuffle_hash"), near_dedup.KEY, "left_semi").select(docs.columns)
+    same = (F.xxhash64(docs["doc_id"]) == F.col("did_")) & (F.xxhash64(docs["text"]) == F.col("tkey_"))
+    kept = materialize(kept.toDF("did_", "tkey_"), "kept")
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
@@ -35,7 +37,7 @@ def secret_scans(spark, docs, sf_dir):
 
 def mixing_sources(spark, docs, sf_dir):
     """The documents the mix takes, with their texts: size, target of the source, words taken and how often."""
-    named = docs.withColumns({"did": F.xxhash64("doc_id"), "tkey": F.xxhash64("text")})
+    named = docs.select("doc_id", "source", "lang", "text", F.xxhash64("doc_id").alias("did"), F.xxhash64("text").alias("tkey"))
     mixed = mixing.mix(named, mixing.label_weights(table(spark, sf_dir, "labels")), extra=("did", "tkey"))
     plan = mixed.where("taken > 0").groupBy("did", "tkey").agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")))
     plan = plan.withColumn("copies", (F.col("taken") / F.col("size")).cast("int"))

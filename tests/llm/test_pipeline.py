@@ -70,6 +70,15 @@ def test_every_stage_against_brute_force(spark, folder):
     assert all(r["copies"] in (1, 2) and r["taken"] == r["copies"] * r["size"] and r["text"] == after[r["doc_id"]] for r in mixed)
 
 
+def test_other_columns_stay_as_they_are(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "concat('d', doc_id) did", "'t' tkey", "'s' size", "doc_id did_", "1 node", "'c' component_id", "true kept")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert out.where("did <> concat('d', doc_id) or tkey <> 't' or did_ <> doc_id").isEmpty(), name
+    assert corpus_pipeline.mixing_sources(spark, docs, folder).count() > 0
+
+
 def test_run_gives_what_its_stages_give(spark, folder):
     first = sorted((r["doc_id"], r["text"], r["taken"]) for r in corpus_pipeline.run(spark, folder).collect())
     again = sorted((r["doc_id"], r["text"], r["taken"]) for r in corpus_pipeline.run(spark, folder).collect())
