@@ -174,7 +174,7 @@ def test_streams(composition):
 def test_set_operations(composition):
     frame = composition.frame(inc).expand_all().rename({"var_0": "y"})
     low, high = frame.where("x", "i < 3"), frame.where("x", "i >= 2")
-    low, high = low.downstream("x"), high.downstream("x")
+    low, high = low.downstream("x").pinned(), high.downstream("x").pinned()
     assert (low | high).sizes() == frame.sizes()
     assert (low & high).sizes()["inc"] == 1
     assert Frame.union(low, high, frame).sizes() == frame.sizes()

@@ -323,7 +323,7 @@ class Frame:
     def __sub__(self, other: Frame) -> Frame:
         """Without the other's elements; of the rest, what is still computed from the sources of this frame. Empty nodes go."""
         left = {n: x.join(other.elts[n], "hid", "left_anti") if n in other.elts else x for n, x in self.elts.items()}
-        return self.select_subsets(left, trusted=True).drop_unreachable("forward", "strong").cleanup()
+        return self.select_subsets(left, trusted=True).drop_unreachable("forward", "strong").pinned().cleanup()
 
     @staticmethod
     def union(*frames: Frame) -> Frame:

@@ -34,7 +34,7 @@ class Store:
         self.spark, self.in_memory = spark, root is None
         self.root = root or shared.scratch(spark, "store")
         self.attempts, self.wait, self.blob_limit, self.blobs = attempts, wait, blob_limit, blobs
-        self._held = 0
+        self._held, self._known = 0, {}
         if not shared.exists(spark, self._manifest_path):
             self._write_manifest({"tables": {t: [] for t in TABLES}, "files": {}, "streams": {}})
 
@@ -78,18 +78,22 @@ class Store:
 
     # reading
 
-    def raw(self, name: str) -> DataFrame:
+    def raw(self, name: str, manifest: dict | None = None) -> DataFrame:
         """Live batches of a table, tombstones not applied."""
-        schema, batches = TABLES[name], self.manifest()["tables"][name]
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        base = f"{self.root}/{name}"
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/batch={b}" for b in batches]).select(schema.names)
+        schema, batches = TABLES[name], (manifest or self.manifest())["tables"][name]
+        key = (name, *batches)
+        if key not in self._known:  # the same batches are listed once
+            self._known = {k: df for k, df in self._known.items() if k[0] != name}
+            base = f"{self.root}/{name}"
+            read = self.spark.read.schema(schema).option("basePath", base)
+            self._known[key] = read.parquet(*[f"{base}/batch={b}" for b in batches]).select(schema.names) if batches else self.spark.createDataFrame([], schema)
+        return self._known[key]
 
     def table(self, name: str) -> DataFrame:
-        df = self.raw(name)
-        if name == "calls_io" and self.manifest()["tables"]["tombstones"]:
-            df = df.join(self.raw("tombstones"), "call_hid", "left_anti").select(df.columns)
+        manifest = self.manifest()
+        df = self.raw(name, manifest)
+        if name == "calls_io" and manifest["tables"]["tombstones"]:
+            df = df.join(self.raw("tombstones", manifest), "call_hid", "left_anti").select(df.columns)
         return df
 
     @property
