@@ -20,9 +20,10 @@ def language_id(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """Keeps the smallest doc_id of each group of documents linked at five-word shingles and similarity 0.8 or more."""
     kept = near_dedup.near_groups(docs, words=5, percent=80).where("kept").select(*near_dedup.KEY).distinct()
-    same = (F.xxhash64(docs["doc_id"]) == F.col("did_")) & (F.xxhash64(docs["text"]) == F.col("tkey_"))
-    kept = materialize(kept.toDF("did_", "tkey_"), "kept")
-    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    kept = materialize(kept.toDF("did_", "tkey_"), "kept").hint("shuffle_hash")
+    # columns by their frame, as documents may have any names of their own
+    same = (F.xxhash64(docs["doc_id"]) == kept["did_"]) & (F.xxhash64(docs["text"]) == kept["tkey_"])
+    return docs.join(kept, same, "left_semi")
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
