@@ -45,7 +45,7 @@ def op9_media_columns(spark, sf_dir):
 
 
 def op10_license_scans(spark, sf_dir):
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan_texts(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_id, op3_mixing, op4_substring_dedup, op5_suffix_dedup, op6_near_dedup, op7_html_extraction, op8_decontamination, op9_media_columns, op10_license_scans)}
