@@ -3,8 +3,8 @@
 A page's content is its outermost article or main elements, or its body where it has none. Menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments go by element and by the words of class, id and role. Site
 templates that say neither are found by counting: elements are hashed as they stand in the source, Spark counts on how many
-pages of different content of a host a hash occurs, and elements on at least `least` of them and `share` of the host's pages
-go. Within an article only containers can go that way; a paragraph that several pages quote is text.
+pages of different content of a host a hash occurs, and elements on at least `least` of them and `share` of the host's different
+contents, or on `plenty` of them however large the host, go. Within an article only containers can go that way; a paragraph that several pages quote is text.
 
 Defined results: null or empty html gives an empty text; an unreadable url counts as the host ""; tags cut off at the end of
 a page are dropped, unclosed elements end with their parent; pages that share a page_id are told apart by their html.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEAST, SHARE = 5, 0.2
+LEAST, SHARE, PLENTY = 5, 0.2, 50
 TOKENS = (
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"""
@@ -148,17 +148,13 @@ def _compiled():
 def _hashes(batches):
     schema = pa.schema([("page_id", pa.int64()), ("pkey", pa.int64()), ("host", pa.string()), ("subtree", pa.int64()), ("content", pa.int64())])
     tokens, finder = _compiled()
-    article, container = re.compile(r"<(?:article|main)[\s>]", re.I), re.compile(f"<(?:{'|'.join(sorted(CONTAINERS))})[\\s>]", re.I)
     for batch in batches:
         out = []
         for page, key, host, html in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "pkey", "host", "html")), strict=True):
             html = html.as_py() or ""
-            # most articles have no containers, and then nothing of the page can be a template's
-            if article.search(html) and not container.search(html, article.search(html).start()):
-                continue
             text, _, hashes = read_page(html, frozenset(), tokens, finder)
             content = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
-            out += [(page.as_py(), key.as_py(), host.as_py(), h, content) for h in set(hashes)]
+            out += [(page.as_py(), key.as_py(), host.as_py(), h, content) for h in set(hashes) or (None,)]  # its content counts for the host all the same
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -175,15 +171,15 @@ def _extract(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def main_text(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, least: int = LEAST, share: float = SHARE, plenty: int = PLENTY) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     key = ["page_id", "pkey"]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.xxhash64("html", "url").alias("pkey"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
     seen = rows.withColumn("host", host).mapInArrow(_hashes, "page_id long, pkey long, host string, subtree long, content long")
     seen = materialize(seen, "subtrees")
-    size = rows.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
-    counts = seen.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    templates = counts.join(size, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
+    size = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+    counts = seen.where("subtree is not null").select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    templates = counts.join(size, "host").where(F.col("n") >= F.least(share * F.col("contents"), F.lit(plenty))).select("host", "subtree")
     found = seen.join(templates, ["host", "subtree"]).groupBy(*key).agg(F.collect_set("subtree").alias("subtrees"))
     return rows.join(found.hint("shuffle_hash"), key, "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
