@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from tracelake.llm import substring_dedup, suffix_dedup
+from tracelake.llm import bwt, substring_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, tkey string, did string"
@@ -75,6 +77,38 @@ def test_byte_strings_agree_with_brute_force(spark, seed, hot):
     assert got == brute_bytes(rows, 60)
 
 
+@pytest.mark.parametrize("hot", [3, 4_000])
+def test_long_texts_in_segments(spark, hot):
+    long = " ".join(t for _, t, *_ in corpus(7) if t)
+    rows = [*corpus(7), (500, long * 25, "clash", "clash")]
+    assert len(rows[-1][1]) > 1 << 18
+    got = sorted(tuple(r) for r in suffix_dedup.cut_repeated_bytes(spark.createDataFrame(rows, SCHEMA), length=60, gram=12, hot=hot, segment=997).drop("spans").collect())
+    assert got == brute_bytes(rows, 60)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abc", "abcdefgh\0"])
+def test_transform_tells_repeats_of_a_block(letters):
+    rng = random.Random(letters)
+    for _ in range(40):
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 8))]
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 5))).encode() for _ in range(rng.randint(1, 6))]
+        length = rng.choice([1, 2, 3, 8, 9, 17, 50])
+        seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        want = [flag for t in texts for flag in [seen[t[i : i + length]] > 1 if i + length <= len(t) else False for i in range(len(t))] + [False]]
+        assert bwt.repeated(np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8), length).tolist() == want
+
+
+def test_transform_tells_common_prefixes_by_value():
+    data = np.frombuffer(b"banana\xffananas\xff", np.uint8)
+    raw = data.tobytes()
+    for length in range(1, 7):
+        order, agree = bwt.untold(data, length)
+        for k in range(1, len(order)):
+            a, b = raw[order[k - 1] : order[k - 1] + length], raw[order[k] : order[k] + length]
+            if b"\xff" not in a + b:
+                assert agree[k] == (a == b)
+
+
 def test_default_length(spark):
     rows = corpus(5)
     got = sorted(tuple(r) for r in suffix_dedup.cut_repeated_bytes(spark.createDataFrame(rows, SCHEMA)).drop("spans").collect())
