@@ -166,9 +166,13 @@ def inputs_col(ids: Mapping[str, Column]) -> Column:
     return F.concat_ws(",", *[F.concat(F.lit(k + "="), ids[k]) for k in sorted(ids)])
 
 
-def call_id_col(tag: str, op: str, version: int, ids: Mapping[str, Column], semantic_version: str | None = None) -> Column:
-    head = f"{tag}|{op}|" if tag == "pre" else f"{tag}|{op}|{version}|{semantic_version or ''}|"
-    return F.md5(F.concat(F.lit(head), inputs_col(ids)).cast("binary"))
+def call_id_col(tag: str, op: str, version: int, inputs: Mapping[str, Column] | Column, semantic_version: str | Column | None = None) -> Column:
+    """The id of a call from its inputs by name, or from `inputs_col` of them."""
+    pairs = inputs if isinstance(inputs, Column) else inputs_col(inputs)
+    if tag == "pre":
+        return F.md5(F.concat(F.lit(f"{tag}|{op}|"), pairs).cast("binary"))
+    semantic = semantic_version if isinstance(semantic_version, Column) else F.lit(semantic_version or "")
+    return F.md5(F.concat(F.lit(f"{tag}|{op}|{version}|"), F.coalesce(semantic, F.lit("")), F.lit("|"), pairs).cast("binary"))
 
 
 def entity_cid(kind: str, key: Column) -> Column:

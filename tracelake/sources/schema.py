@@ -14,7 +14,8 @@ REFS = T.StructType([*_strings("hid", "cid", "kind"), T.StructField("elems", T.A
 ATOMS = T.StructType([*_strings("cid", "vtype"), T.StructField("i", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("s", T.StringType()), T.StructField("blob", T.BinaryType()), T.StructField("path", T.StringType())])
 OPS = T.StructType([*_strings("name", "nout"), T.StructField("output_names", T.ArrayType(T.StringType())), T.StructField("version", T.IntegerType()), T.StructField("structural", T.BooleanType())])
 SOURCES = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())])
-TOMBSTONES = T.StructType(_strings("call_hid"))
+#: A call is hidden in the batches numbered below `before`.
+TOMBSTONES = T.StructType([*_strings("call_hid"), T.StructField("before", T.LongType())])
 TABLES = {"calls_io": CALLS_IO, "refs": REFS, "atoms": ATOMS, "ops": OPS, "sources": SOURCES, "tombstones": TOMBSTONES}
-KEYS = {"calls_io": ["call_hid", "name"], "refs": ["hid"], "atoms": ["cid"], "ops": ["name"], "sources": ["key"], "tombstones": ["call_hid"]}
+KEYS = {"calls_io": ["call_hid", "name"], "refs": ["hid"], "atoms": ["cid"], "ops": ["name"], "sources": ["key"], "tombstones": ["call_hid", "before"]}
 ELTS = T.StructType(_strings("node", "hid"))

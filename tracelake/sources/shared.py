@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,19 @@ from pyspark.sql import functions as F
 
 
 def ensure_shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary folder serves only where the session names none."""
+    """The folder of spark.checkpoint.dir, or the one set on the context; with neither, a temporary one in local mode.
+
+    A cluster that names no folder is an error: files in a machine's own folder would be lost to the other executors.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current.isDefined():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-"))
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="tracelake-")
+        context.setCheckpointDir(named)
         current = context._jsc.sc().getCheckpointDir()
     return named or current.get()
 
@@ -85,6 +93,24 @@ def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = T
         stream.close()
 
 
+def older(spark: SparkSession, path: str, seconds: float) -> bool:
+    """Whether a file was last written more than so many seconds ago; False where there is none."""
+    where, fs = _path(spark, path)
+    try:
+        return time.time() - fs.getFileStatus(where).getModificationTime() / 1000 > seconds
+    except Exception:  # noqa: BLE001  it may go meanwhile
+        return False
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a file; False where it is gone already."""
+    where, fs = _path(spark, path)
+    try:
+        return fs.rename(where, _path(spark, to)[0])
+    except Exception:  # noqa: BLE001  another process moved it
+        return False
+
+
 def swap_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Replace a file in one step: readers see the old content or the new one."""
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway

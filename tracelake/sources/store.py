@@ -1,13 +1,17 @@
 """The Parquet store: append-only batches, a manifest that names the live ones, tombstones and compaction.
 
-A batch is written first and counts only once the manifest names it; the manifest is swapped in one step, so a reader sees a
-commit wholly or not at all and an executor lost in the middle leaves only files that nothing names. Writers hold a lock file
-for a whole transaction, so ids checked by an anti-join stay unique. `calls_io` lies in folders by op, which prunes scans.
+A batch is written first and counts only once the manifest names it. A transaction gathers its changes and swaps the manifest
+once, when its outermost block ends well, so a reader sees a commit wholly or not at all and a job lost in the middle leaves
+only files that nothing names. Writers hold a lock file for a whole transaction, so ids checked by an anti-join stay unique;
+the lock names its owner and is renewed while it is held, so that of a dead writer is taken over. `calls_io` lies in folders by
+op, which prunes scans. Batches are numbered: a tombstone hides a call in the batches before it, so a call that is dropped and
+made again is seen again.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -16,6 +20,7 @@ from contextlib import contextmanager
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .schema import KEYS, TABLES
@@ -30,13 +35,14 @@ def label_of(op, name):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str | None = None, attempts: int = 10, wait: float = 0.1, blob_limit: int = 50 << 20, blobs: bool = True):
+    def __init__(self, spark: SparkSession, root: str | None = None, attempts: int = 10, wait: float = 0.1, blob_limit: int = 50 << 20, blobs: bool = True, stale: float = 600.0):
         self.spark, self.in_memory = spark, root is None
         self.root = root or shared.scratch(spark, "store")
-        self.attempts, self.wait, self.blob_limit, self.blobs = attempts, wait, blob_limit, blobs
-        self._held, self._known = 0, {}
+        self.attempts, self.wait, self.blob_limit, self.blobs, self.stale = attempts, wait, blob_limit, blobs, stale
+        self._mutex, self._held, self._owner = threading.RLock(), 0, None
+        self._pending, self._gone, self._known = None, [], {}
         if not shared.exists(spark, self._manifest_path):
-            self._write_manifest({"tables": {t: [] for t in TABLES}, "files": {}, "streams": {}})
+            self._write_manifest({"tables": {t: [] for t in TABLES}, "files": {}, "streams": {}, "next": 1})
 
     # manifest and transactions
 
@@ -45,42 +51,95 @@ class Store:
         return f"{self.root}/_manifest.json"
 
     def manifest(self) -> dict:
+        """What is committed; within a transaction of this thread, with the changes made so far."""
+        if self._pending is not None and self._writer == threading.get_ident():
+            return self._pending
         return json.loads(shared.read_bytes(self.spark, self._manifest_path))
 
     def _write_manifest(self, content: dict) -> None:
         shared.swap_bytes(self.spark, self._manifest_path, json.dumps(content).encode())
 
+    @property
+    def _lock_path(self) -> str:
+        return f"{self.root}/_lock"
+
+    def _lock_of(self) -> dict | None:
+        try:
+            return json.loads(shared.read_bytes(self.spark, self._lock_path))
+        except Exception:  # noqa: BLE001  gone, or not written in full yet
+            return None
+
+    def _take(self) -> bool:
+        """Create the lock file, or take over one that its owner has not renewed for `stale` seconds."""
+        mine = lambda: json.dumps({"owner": self._owner, "at": time.time()}).encode()
+        try:
+            shared.write_bytes(self.spark, self._lock_path, mine(), overwrite=False)
+            return True
+        except Exception:  # noqa: BLE001  Py4J wraps every Java error alike
+            if not shared.exists(self.spark, self._lock_path):
+                if not shared.exists(self.spark, self.root):
+                    raise
+                return False
+        old = self._lock_of()
+        if old is not None and time.time() - old["at"] < self.stale or old is None and not shared.older(self.spark, self._lock_path, self.stale):
+            return False
+        # of several writers only one can move the file away
+        return shared.move(self.spark, self._lock_path, f"{self._lock_path}.{uuid.uuid4().hex}") and self._take()
+
+    def _renew(self, stop: threading.Event) -> None:
+        while not stop.wait(self.stale / 4):
+            shared.swap_bytes(self.spark, self._lock_path, json.dumps({"owner": self._owner, "at": time.time()}).encode())
+
     @contextmanager
     def transaction(self):
-        """One writer at a time; waits twice as long after each of `attempts` tries. Nested transactions join the outer one."""
-        lock = f"{self.root}/_lock"
-        for attempt in range(self.attempts if not self._held else 0):
-            try:
-                shared.write_bytes(self.spark, lock, b"", overwrite=False)
-                break
-            except Exception as e:  # noqa: BLE001  Py4J wraps every Java error alike
+        """One writer at a time; waits twice as long after each of `attempts` tries. Nested transactions join the outer one.
+
+        An error undoes all of it. The manifest is only swapped by a writer that still holds the lock.
+        """
+        with self._mutex:
+            if self._held:
+                self._held += 1
+                try:
+                    yield self
+                finally:
+                    self._held -= 1
+                return
+            self._owner = uuid.uuid4().hex
+            for attempt in range(self.attempts):
+                if self._take():
+                    break
                 if attempt + 1 == self.attempts:
-                    raise TimeoutError(f"another writer holds {lock}") from e
+                    raise TimeoutError(f"another writer holds {self._lock_path}")
                 time.sleep(self.wait * 2**attempt)
-        self._held += 1
-        try:
-            yield self
-        finally:
-            self._held -= 1
-            if not self._held:
-                shared.delete(self.spark, lock)
+            stop = threading.Event()
+            threading.Thread(target=self._renew, args=(stop,), daemon=True).start()
+            try:
+                before = self.manifest()
+                self._pending, self._writer, self._gone, self._held = json.loads(json.dumps(before)), threading.get_ident(), [], 1
+                yield self
+                changed, gone = self._pending, self._gone
+                if changed != before:
+                    if (self._lock_of() or {}).get("owner") != self._owner:
+                        raise RuntimeError(f"{self._lock_path} was taken over")
+                    self._write_manifest(changed)
+                    for path in gone:
+                        shared.delete(self.spark, path)
+            finally:
+                self._held, self._pending = 0, None
+                stop.set()
+                if (self._lock_of() or {}).get("owner") == self._owner:
+                    shared.delete(self.spark, self._lock_path)
 
     def change(self, edit: Callable[[dict], None]) -> None:
         with self.transaction():
-            content = self.manifest()
-            edit(content)
-            self._write_manifest(content)
+            edit(self._pending)
 
     # reading
 
-    def raw(self, name: str, manifest: dict | None = None) -> DataFrame:
-        """Live batches of a table, tombstones not applied."""
-        schema, batches = TABLES[name], (manifest or self.manifest())["tables"][name]
+    def _rows(self, name: str, manifest: dict | None = None) -> DataFrame:
+        """Live batches of a table with the column `batch`, tombstones not applied."""
+        batches = (manifest or self.manifest())["tables"][name]
+        schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.StringType())])
         key = (name, *batches)
         if key not in self._known:  # the same batches are listed once
             self._known = {k: df for k, df in self._known.items() if k[0] != name}
@@ -89,12 +148,17 @@ class Store:
             self._known[key] = read.parquet(*[f"{base}/batch={b}" for b in batches]).select(schema.names) if batches else self.spark.createDataFrame([], schema)
         return self._known[key]
 
+    def raw(self, name: str, manifest: dict | None = None) -> DataFrame:
+        return self._rows(name, manifest).select(TABLES[name].names)
+
     def table(self, name: str) -> DataFrame:
         manifest = self.manifest()
-        df = self.raw(name, manifest)
-        if name == "calls_io" and manifest["tables"]["tombstones"]:
-            df = df.join(self.raw("tombstones", manifest), "call_hid", "left_anti").select(df.columns)
-        return df
+        if name != "calls_io" or not manifest["tables"]["tombstones"]:
+            return self.raw(name, manifest)
+        hidden = self.raw("tombstones", manifest).groupBy("call_hid").agg(F.max("before").alias("before"))
+        number = F.substring_index("batch", "-", 1).cast("long")
+        seen = self._rows(name, manifest).join(hidden, "call_hid", "left").where(F.col("before").isNull() | (number >= F.col("before")))
+        return seen.select(TABLES[name].names)
 
     @property
     def calls_io(self) -> DataFrame:
@@ -124,12 +188,15 @@ class Store:
             if not fresh:
                 df = df.dropDuplicates(KEYS[name])
                 if self.manifest()["tables"][name]:
-                    df = df.join(self.raw(name).select(KEYS[name]), KEYS[name], "left_anti")
+                    df = df.join(self.table(name).select(KEYS[name]), KEYS[name], "left_anti")
             batch = self.write_batch(name, df)
             self.change(lambda m: m["tables"][name].append(batch))
 
     def write_batch(self, name: str, df: DataFrame) -> str:
-        batch = uuid.uuid4().hex
+        """Write rows under the next number; they count once the manifest names the batch."""
+        with self.transaction():
+            batch = f"{self._pending['next']:08d}-{uuid.uuid4().hex}"
+            self._pending["next"] += 1
         writer = df.select(TABLES[name].names).write.option("compression", "zstd")
         if name in FOLDERS:
             writer = writer.partitionBy(FOLDERS[name])
@@ -141,23 +208,23 @@ class Store:
         with self.transaction():
             old, batch = self.manifest()["tables"][name], self.write_batch(name, df)
             self.change(lambda m: m["tables"].update({name: [batch]}))
-            for b in old:
-                shared.delete(self.spark, f"{self.root}/{name}/batch={b}")
+            self._gone += [f"{self.root}/{name}/batch={b}" for b in old]
 
     def tombstone(self, call_hids: DataFrame) -> None:
-        """Hide calls from all later reads."""
-        self.append("tombstones", call_hids.select(F.col(call_hids.columns[0]).alias("call_hid")))
+        """Hide calls from all later reads, as far as they are stored by now."""
+        with self.transaction():
+            rows = call_hids.select(F.col(call_hids.columns[0]).alias("call_hid")).distinct()
+            self.append("tombstones", rows.withColumn("before", F.lit(self._pending["next"]).cast("long")), fresh=True)
 
     def vacuum(self) -> None:
         """Compaction: each table in one batch, tombstoned calls gone for good."""
         with self.transaction():
-            live = self.manifest()["tables"]
+            live = {k: list(v) for k, v in self.manifest()["tables"].items()}
             for name in TABLES:
                 if name != "tombstones" and (len(live[name]) > 1 or name == "calls_io" and live["tombstones"]):
                     self.replace(name, self.table(name).dropDuplicates(KEYS[name]))
             self.change(lambda m: m["tables"].update(tombstones=[]))
-            for b in live["tombstones"]:
-                shared.delete(self.spark, f"{self.root}/tombstones/batch={b}")
+            self._gone += [f"{self.root}/tombstones/batch={b}" for b in live["tombstones"]]
 
     # key/value tables and single files
 

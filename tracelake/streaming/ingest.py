@@ -13,7 +13,7 @@ from ..sources.store import Store
 def ingest_calls(rows: DataFrame, store: Store, name: str, checkpoint: str, available_now: bool = True, late: str | None = None, event_time: str = "ts") -> StreamingQuery:
     """Append a stream of calls_io rows to a store.
 
-    A micro-batch is appended by an anti-join with what is stored, and the manifest records the number of the last batch under
+    A micro-batch is appended by an anti-join with what is stored (a call that was dropped and arrives again is new), and the manifest records the number of the last batch under
     `name` in the same swap that makes its rows visible, so a batch that is replayed after a failure is skipped. With `late`,
     rows that repeat within that time of event_time are dropped before, which keeps the joins small.
     """
@@ -25,7 +25,7 @@ def ingest_calls(rows: DataFrame, store: Store, name: str, checkpoint: str, avai
             if store.manifest()["streams"].get(name, -1) >= number:
                 batch.write.format("noop").mode("overwrite").save()  # the state of earlier operators must still advance
                 return
-            fresh = batch.select(CALLS_IO.names).dropDuplicates(["call_hid", "name"]).join(store.raw("calls_io").select("call_hid", "name"), ["call_hid", "name"], "left_anti")
+            fresh = batch.select(CALLS_IO.names).dropDuplicates(["call_hid", "name"]).join(store.calls_io.select("call_hid", "name"), ["call_hid", "name"], "left_anti")
             written = store.write_batch("calls_io", fresh)
 
             def visible(manifest: dict) -> None:
