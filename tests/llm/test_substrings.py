@@ -61,14 +61,38 @@ def brute_bytes(rows, length):
     return sorted(out)
 
 
+@pytest.mark.parametrize("hot", [2, 20_000])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_word_windows_agree_with_brute_force(spark, seed):
+def test_word_windows_agree_with_brute_force(spark, seed, hot):
     rows = corpus(seed)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.cut_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.cut_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), hot=hot).collect()}
     assert got == brute_words(rows, 50)
     assert any(0 < n < total for total, n, _ in got.values())
 
 
+def test_factors_are_greedy_and_go_on_across_their_ends():
+    block = substring_dedup.Block(4)
+    say = lambda s: " ".join(s).encode()
+    assert block.parse(1, say("abcdefgh")) == [] and block.parse(1, say("cdefxyz")) == []  # one document is no reference for itself
+    assert block.parse(2, say("bcdefxyzq")) == [(0, 5), (2, 8)]  # bcdef of one stretch, then defxyz of the other
+    assert block.parse(3, say("abcdefgh")) == [(0, 8)] and block.parse(3, b"") == []
+    assert block.parse(4, b"a\tb\n c  d") == [(0, 4)]
+
+
+def test_windows_of_one_hash_are_told_apart():
+    class Same(bytes):
+        def __hash__(self):
+            return 7
+
+    block = substring_dedup.Block(2)
+    words = lambda s: [Same(c.encode()) for c in s]
+    for p, w in ((0, words("ab")), (0, words("cd"))):
+        slot, found = block._place(w, p)
+        assert found is None
+        block.index[slot] = (w, p)
+    assert block._place(words("cd"), 0)[1] is not None and block._place(words("ad"), 0)[1] is None
+
+
 @pytest.mark.parametrize("hot", [3, 60_000])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_byte_strings_agree_with_brute_force(spark, seed, hot):

@@ -1,13 +1,19 @@
-"""Substring dedup over word windows, after relative Lempel-Ziv parsing.
-
-Classic relative parsing factors a document greedily against one reference held in memory. Here the reference is the
-whole corpus, cut into content-defined blocks: of each 50-word window the smallest 25-word hash names its block, so equal
-windows always look into the same block. Blocks are hash-partitioned over the cluster and a document is only factored
-against blocks that another document also holds. A factor is a run of windows found in a document with a smaller doc_id;
-factors shorter than a window are never emitted, and words are removed up to the factor's own boundaries.
+"""Substring dedup over word windows by relative Lempel-Ziv parsing against blocks of the corpus.
+
+The reference is the whole corpus, cut into content-defined blocks: of each `window`-word string the smallest `gram`-word hash
+names its block, and a block holds the stretches of all documents whose windows it names. Equal windows are of the same block,
+so a document is parsed against every block that can hold a part of it, and against no other.
+In a block documents come by doc_id and are parsed against what stands there from smaller ones: at each place the window is
+looked up in the block's index, and where it is found the factor is drawn on, word by word, as far as both agree. A factor of a
+window or more is a duplicate span. Windows that cross a factor's end can belong to another factor, so parsing goes on from
+the first of them. Then the document's windows that were not found join the index. Words decide, not hashes.
+Blocks of more than `hot` stretches (a passage in very many documents) would be too much for a task: their windows are counted by
+Spark under two independent hashes, the one step that rests on hashes.
 
 Defined results: null or empty text has no words; rows with a null doc_id are neither removed from nor used as reference;
-rows that share a doc_id count as one document; other columns are ignored.
+rows that share a doc_id count as one document, repeated rows included; ties do not arise, as only smaller doc_ids count; very
+long texts are split into their stretches like any other; an empty table gives an empty table; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, covered, find_words, gram_hashes, keyed, materialize, prefix_sums, record_batch, sliding_min, text_slices, word_hashes
+from .common import Powers, byte_codes, covered, find_words, gram_hashes, keyed, materialize, mix, prefix_sums, record_batch, sliding_min, span_hashes, text_slices, word_hashes
 
 WINDOW = 50
 GRAM = 25
+# stretches in a block; an index entry takes about 150 bytes and a stretch has some 26 windows
+HOT = 20_000
 
 
 def block_names(data, starts, window, gram, pw):
@@ -58,26 +66,112 @@ def _index(window, gram):
     return run
 
 
-def _factor(window, gram):
-    schema = pa.schema([("whole", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("start", pa.int32())])
+STRETCHES = "block long, also long, doc_id long, tkey long, begin int, words binary"
+
+
+def _stretches(window, gram):
+    """The stretches of a document in its shared blocks; of hot blocks a row for each window under its two hashes, without words."""
+    schema = pa.schema([("block", pa.int64()), ("also", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("begin", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         pw = Powers()
         for batch in batches:
-            ids, keys, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tkey", "blocks"))
+            ids, keys, lists, hots = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tkey", "blocks", "hots"))
             for at, end, data, starts in text_slices(batch):
-                name, whole, row, word = block_names(data, starts, window, gram, pw)
+                first, last, row = find_words(data, starts)
+                name, whole, of, word = block_names(data, starts, window, gram, pw)
                 if not len(name):
                     continue
-                keep = np.zeros(len(name), bool)
-                edge = np.searchsorted(row, np.arange(end - at + 1))
+                name, whole, raw, out, hot_at = name.view(np.int64), whole.view(np.int64), data.tobytes(), [], []
+                begin = np.searchsorted(row, np.arange(len(starts) - 1))
+                edge = np.searchsorted(of, np.arange(end - at + 1))
                 for i in range(end - at):
-                    if edge[i + 1] > edge[i] and lists[at + i].is_valid:
-                        own = np.asarray(lists[at + i].values, np.int64)
-                        keep[edge[i] : edge[i + 1]] = np.isin(name[edge[i] : edge[i + 1]].view(np.int64), own)
-                if keep.any():
-                    take = pa.array(row[keep] + at)
-                    yield record_batch(schema, pa.array(whole[keep].view(np.int64)), ids.take(take), keys.take(take), pa.array(word[keep].astype(np.int32)))
+                    lo, hi = int(edge[i]), int(edge[i + 1])
+                    if lo == hi or not lists[at + i].is_valid:
+                        continue
+                    own, hot = np.asarray(lists[at + i].values, np.int64), np.asarray(hots[at + i].values, bool)
+                    order = np.argsort(own)
+                    own, hot = own[order], hot[order]
+                    cut = np.concatenate(([lo], np.flatnonzero(name[lo + 1 : hi] != name[lo : hi - 1]) + lo + 1, [hi]))
+                    place = np.minimum(np.searchsorted(own, name[cut[:-1]]), len(own) - 1)
+                    held = own[place] == name[cut[:-1]]
+                    for j in np.flatnonzero(held & ~hot[place]).tolist():
+                        a, b = int(cut[j]), int(cut[j + 1])
+                        w = int(begin[i] + word[a])
+                        out.append((int(name[a]), at + i, int(word[a]), raw[first[w] : last[w + (b - a) + window - 2]]))
+                    hot_at += [np.arange(cut[j], cut[j + 1]) for j in np.flatnonzero(held & hot[place])]
+                if out:
+                    block, place, start, words = zip(*out, strict=True)
+                    take = pa.array(place)
+                    yield record_batch(schema, list(block), [0] * len(out), ids.take(take), keys.take(take), list(start), list(words))
+                if hot_at:
+                    hot_at = np.concatenate(hot_at)
+                    hashes = span_hashes(prefix_sums(byte_codes()[data], pw), first, last, pw)
+                    also = gram_hashes(prefix_sums(mix(hashes), pw), window, pw).view(np.int64)
+                    # windows are numbered by their first word, those over two rows left out
+                    also = also[begin[of[hot_at]] + word[hot_at]]
+                    take = pa.array(of[hot_at] + at)
+                    yield record_batch(schema, pa.array(whole[hot_at]), pa.array(also), ids.take(take), keys.take(take), pa.array(word[hot_at].astype(np.int32)), pa.nulls(len(hot_at), pa.binary()))
+
+    return run
+
+
+class Block:
+    """Index of a block: its windows, and where each stands first. Documents must come by doc_id."""
+
+    def __init__(self, window: int):
+        self.window, self.index, self.known, self.doc, self.waiting = window, {}, {}, None, []
+
+    def _place(self, words, p):
+        """The slot of the window at p, and what stands there: windows that only share a hash have slots of their own."""
+        own = words[p : p + self.window]
+        slot = hash(tuple(own))
+        while (found := self.index.get(slot)) is not None:
+            if found[0][found[1] : found[1] + self.window] == own:
+                return slot, found
+            slot += 1
+        return slot, None
+
+    def parse(self, doc: int, raw: bytes) -> list[tuple[int, int]]:
+        """Factors of a window or more of a stretch, as spans of words."""
+        if doc != self.doc:
+            for words, p in self.waiting:
+                slot, found = self._place(words, p)
+                if found is None:
+                    self.index[slot] = (words, p)
+            self.doc, self.waiting = doc, []
+        if self.known.setdefault(raw, doc) < doc:  # the very bytes stand in a smaller document
+            return [(0, len(raw.split()))]
+        words, p, factors = raw.split(), 0, []
+        while p + self.window <= len(words):
+            _, found = self._place(words, p)
+            if found is None:
+                self.waiting.append((words, p))
+                p += 1
+                continue
+            other, q = found
+            n, most = self.window, min(len(words) - p, len(other) - q)
+            while n < most and words[p + n] == other[q + n]:
+                n += 1
+            factors.append((p, p + n))
+            p += n - self.window + 1  # windows across the factor's end
+        return factors
+
+
+def _parse(window):
+    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
+
+    def run(batches):
+        last, block = None, None
+        for batch in batches:
+            out = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "doc_id", "tkey", "begin", "words")]
+            for name, doc, key, begin, raw in zip(*columns, strict=True):
+                if name != last:
+                    last, block = name, Block(window)
+                out += [(doc, key, begin + a, begin + b) for a, b in block.parse(doc, raw)]
+            if out:
+                yield record_batch(schema, *map(list, zip(*out, strict=True)))
 
     return run
 
@@ -88,14 +182,13 @@ def _cut(window):
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, begins, copied in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "begins", "copied")), strict=True):
+            for doc, text, spans, copied in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "spans", "copied")), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n = len(words)
                 if n >= window and copied.as_py():
                     words = []
-                elif begins.is_valid and len(begins.values):
-                    begin = np.asarray(begins.values, np.int64)
-                    drop = covered(begin, begin + window, n)
+                elif spans.is_valid and len(spans.values):
+                    drop = covered(*(np.asarray(spans.values.field(i), np.int64) for i in (0, 1)), n)
                     words = [w for w, gone in zip(words, drop.tolist(), strict=True) if not gone]
                 kept = b" ".join(words)
                 out.append((doc.as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
@@ -105,27 +198,32 @@ def _cut(window):
     return run
 
 
-def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
     key = ["doc_id", "tkey"]
     base = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     named = base.where("doc_id is not null and text is not null")
-    # a copy of a document with a smaller doc_id goes as a whole and is never factored; blocks of one text alone need no look
+    # a copy of a document with a smaller doc_id goes as a whole and is never parsed; blocks of one text alone need no look
     ids = named.select(*key, F.xxhash64(F.reverse("text")).alias("back"))
     firsts = ids.groupBy("tkey", "back").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("tkey", "back", "first")
     copies = materialize(ids.join(firsts, ["tkey", "back"]).where("doc_id > first").select(*key).distinct(), "copies")
-    index = named.mapInArrow(_index(window, gram), "block long, doc_id long, tkey long")
-    shared = index.groupBy("block").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi")).where("lo < hi").select("block")
-    lists = index.join(shared, "block").groupBy(*key).agg(F.collect_set("block").alias("blocks"))
-    lists = materialize(lists.join(copies, key, "left_anti"), "blocks")
-    held = named.join(lists.hint("shuffle_hash"), key)
-    windows = held.mapInArrow(_factor(window, gram), "whole long, doc_id long, tkey long, start int")
-    earliest = windows.groupBy("whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("whole", "lo")
-    # written, so that the join below stands alone and Spark can split a window that very many documents share
-    earliest = materialize(earliest, "earliest")
-    found = windows.join(earliest, "whole").where("doc_id > lo").groupBy(*key).agg(F.collect_list("start").alias("begins"))
+    index = named.join(copies.hint("shuffle_hash"), key, "left_anti").mapInArrow(_index(window, gram), "block long, doc_id long, tkey long")
+    shared = index.groupBy("block").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("block", (F.col("n") > hot).alias("hot"))
+    lists = index.join(shared, "block").groupBy(*key).agg(F.collect_set(F.struct("block", "hot")).alias("own"))
+    lists = materialize(lists.select(*key, F.col("own.block").alias("blocks"), F.col("own.hot").alias("hots")), "blocks")
+    rows = named.join(lists.hint("shuffle_hash"), key).mapInArrow(_stretches(window, gram), STRETCHES)
+    stretches = rows.where("words is not null").drop("also").repartition("block").sortWithinPartitions("block", "doc_id", "begin")
+    spans = stretches.mapInArrow(_parse(window), "doc_id long, tkey long, begin int, end int")
+    if not lists.where(F.exists("hots", lambda x: x)).isEmpty():
+        windows = rows.where("words is null").drop("words")
+        earliest = windows.groupBy("block", "also").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("block", "also", "lo")
+        # written, so that the join below stands alone and Spark can split a window that very many documents share
+        earliest = materialize(earliest, "earliest")
+        later = windows.join(earliest, ["block", "also"]).where("doc_id > lo")
+        spans = spans.unionByName(later.select(*key, "begin", (F.col("begin") + window).cast("int").alias("end")))
+    found = spans.groupBy(*key).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     marks = found.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
-    return base.join(materialize(marks, "begins").hint("shuffle_hash"), key, "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return base.join(materialize(marks, "spans").hint("shuffle_hash"), key, "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 ORACLE = r"""
