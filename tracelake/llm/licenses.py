@@ -98,7 +98,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     lines = lines.where(F.length("line") > 2 * bounds["lo"])
     lines = lines.withColumn("n", F.regexp_count("line", F.lit(r"[\p{L}\p{N}]+"))).where(F.col("n") > bounds["lo"])
     lines = lines.select("doc_id", "line", bigrams(F.split(normal(F.col("line")), " ")).alias("own")).withColumn("n", F.size("own")).where(F.col("n").between(bounds["lo"], bounds["hi"]))
-    pairs = lines.join(F.broadcast(known), F.col("n").between(low, high))
+    # by size: a template meets lines of each of the few sizes that its bounds allow
+    sized = known.withColumn("n", F.explode(F.sequence(F.ceil(low).cast("int"), F.floor(high).cast("int"))))
+    pairs = lines.join(F.broadcast(sized), "n")
     pairs = pairs.withColumn("dice", 2.0 * F.size(F.array_intersect("own", "grams")) / (F.col("n") + F.col("t"))).where(F.col("dice") >= least)
     best = pairs.groupBy("doc_id", "license").agg(F.max(F.struct("dice", "line")).alias("x"), F.count_distinct("line").alias("n_lines"))
     return best.select("doc_id", "license", F.round("x.dice", 6).alias("dice"), "n_lines", "x.line")
@@ -215,7 +217,7 @@ with forms(license, form) as (values {values}),
 t0 as (select license, string_split(trim(regexp_replace(regexp_replace(lower(form), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '\\.( |$)', '\\1', 'g')), ' ') as w from forms),
 t as (select license, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as grams from t0),
 lines as (select distinct doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) as line from documents),
-l0 as (select doc_id, line, string_split(trim(regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '\\.( |$)', '\\1', 'g')), ' ') as w from lines where length(line) < 2000),
+l0 as (select doc_id, line, string_split(trim(regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '\\.( |$)', '\\1', 'g')), ' ') as w from lines),
 l as (select doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as own from l0),
 d as (select doc_id, license, line, 2.0::double * len(list_intersect(own, grams)) / (len(own) + len(grams)) as dice from l, t
   where len(own) between len(grams) * {LEAST} / (2 - {LEAST}) and len(grams) * (2 - {LEAST}) / {LEAST})
