@@ -60,11 +60,11 @@ def test_every_stage_against_brute_force(spark, folder):
     assert {r["doc_id"] for r in hits} == {210}
 
     masked = corpus_pipeline.secret_scans(spark, clean, folder)
-    tools, trained = secrets._compiled(), secrets.train()
+    tools, field = secrets._compiled(), secrets.Field(secrets.train())
     before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (clean, masked))
     assert before.keys() == after.keys() and "hunter22secret" not in after[220] and "[SECRET] end" in after[220]
     for d, text in before.items():
-        assert (after[d] != text) == bool(secrets.spans_of(text, trained, *tools))
+        assert (after[d] != text) == bool(secrets.spans_of(text, field, *tools))
 
     mixed = corpus_pipeline.mixing_sources(spark, masked, folder).collect()
     assert all(r["copies"] in (1, 2) and r["taken"] == r["copies"] * r["size"] and r["text"] == after[r["doc_id"]] for r in mixed)
