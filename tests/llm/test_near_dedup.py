@@ -52,15 +52,16 @@ def corpus(seed, groups=12, size=14):
     return [(i + 5, t, "clash", "clash") for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
+@pytest.mark.parametrize("words,percent,crowd", [(3, 85, 2000), (5, 80, 2000), (3, 85, 5)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_agrees_with_all_pairs(spark, seed, words, percent):
+def test_agrees_with_all_pairs(spark, seed, words, percent, crowd):
     rows = corpus(seed)
-    got = near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), words, percent).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    got = near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), words, percent, crowd).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got)) == brute(rows, words, percent)
 
 
-def test_large_region_of_near_copies(spark):
+@pytest.mark.parametrize("crowd", [2000, 20])
+def test_large_region_of_near_copies(spark, crowd):
     """Many copies of one text, changed more or less: most regions are large, and some copies are linked with nothing."""
     rng = random.Random(4)
     base = [f"b{i}" for i in range(60)]
@@ -70,11 +71,38 @@ def test_large_region_of_near_copies(spark):
         for _ in range(rng.randint(0, 5)):
             w[rng.randrange(60)] = f"x{rng.randrange(3000)}"
         rows.append((i, " ".join(w), "c", "c"))
-    got = near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    got = near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA), crowd=crowd).select("doc_id", "n_shingles", "component_id", "kept").collect()
     want = brute(rows, 3, 85)
     assert sorted(map(tuple, got)) == want and 1 < len({r[2] for r in want}) < 140
 
 
+def test_crowded_regions_go_deeper(spark):
+    rng = random.Random(3)
+    rows = [(n, 0, 0, t, 7 if n < 300 else n, (rng.randrange(3) << 32) + rng.choice([1, 1, 1, 2])) for n in range(330) for t in (0, 1)]
+    each = spark.createDataFrame(rows, "node long, low long, high long, tree int, region long, rest long")
+    got = near_dedup.cut_regions(each, 25).collect()
+    assert len(got) == len(rows) and all(r["sub"] == r["region"] and not r["cut"] for r in got if r["node"] >= 300)
+    parts: dict = {}
+    for r in got:
+        if r["cut"]:
+            parts.setdefault((r["tree"], r["sub"]), []).append(r["rest"])
+    # of one part all agree in all values, or in the fifth where that was enough; none is much above the bound
+    assert max(map(len, parts.values())) <= 45 and all(len({x >> 32 for x in p}) == 1 for p in parts.values())
+    assert near_dedup.cut_regions(each, 1000).where("cut or sub <> region").isEmpty()
+
+
+def test_common_prefix(spark):
+    df = spark.createDataFrame([(5 << 32 | 3, 5 << 32 | 3), (5 << 32 | 3, 5 << 32 | 4), (5 << 32 | 3, 6 << 32 | 3), (-(1 << 40), -(1 << 40))], "a long, b long")
+    assert [r[0] for r in df.select(near_dedup.common_prefix(df.a, df.b)).collect()] == [6, 5, 4, 6]
+
+
+def test_very_long_and_very_frequent(spark):
+    long = " ".join(f"w{i % 5003}" for i in range(60_000))
+    rows = [(1, long, "c", "c"), (2, long + " tail", "c", "c"), (3, "a " * 50_000, "c", "c"), (4, "a " * 40_000, "c", "c"), (5, "b " * 100, "c", "c")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id").collect()
+    assert dict(map(tuple, got)) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_prefixes_meet_for_every_link(spark):
     """Two sets at the threshold share a shingle of their prefixes, at places that leave room for what they share."""
     rng = random.Random(9)

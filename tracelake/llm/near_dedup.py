@@ -1,19 +1,27 @@
 """MinHash near-dedup with an LSH forest and exact confirmation.
 
 Texts with equal shingle sets form one class first, so copies cost nothing later. Every class has `TREES` sorted signature
-orders of `DEPTH` values. Classes that share the first `ROOT` values of an order form a region; the neighbours with the
-longest common prefix, which stand next to each other in the order, and the region's head are candidates. Regions of at most
-`NEAR` + 1 classes are compared in full that way. Larger regions go deeper through the order itself, and what is left there
-is settled exactly once the first links are confirmed: of the classes in regions that still hold several components, those
+orders of `DEPTH` values. Classes that share the first `ROOT` values of an order form a region; neighbours in the order are
+candidates. Depth adapts to the region: one of more than `CROWD` classes is cut by its next value, what is still larger by the
+one after, and classes that agree in all values by a hash, so that no task sorts more than about `CROWD` classes of a region.
+In regions of at most `NEAR` + 1 classes all are compared; in larger ones a class meets, of the `NEAR` before it, those with the
+longest common prefix, measured on the values, and the region's head; heads of cut regions meet the head of the whole. What is
+left there is settled exactly once the first links are confirmed: of the classes in regions that still hold several components, those
 whose shingles are too rarely found in any other of them can have no link and go (counted by Spark, `ROUNDS` times, since what
 goes makes others rare); the others try their nearest of another component, `HOPS` times, and what is still apart is compared
-where the rarest shingles of two classes meet, which every link must. Two sets at the threshold share a region with probability 1 - (1 - s**4)**20 (0.9999996 at s = 0.85).
-A 120-bit sketch drops pairs more than 5.5 deviations below the threshold; the rest are confirmed on full sets, first one link
-per class (the most promising), then every remaining candidate between different components.
+where the rarest shingles of two classes meet, which every link must.
+
+Links can only be lost in two places, both by chance of hashing: two sets at the threshold share no region with probability
+(1 - s**4)**20 (4e-7 at s = 0.85, 3e-5 at 0.8), and a 120-bit sketch that is read before full sets drops a pair at the threshold
+with a probability below 1e-9 (more than `DEVIATIONS` standard deviations off). Most links have other ways through their group. All others are
+confirmed on full sets, first one link per class (the most promising), then every remaining candidate between different
+components. README states the recall measured against an exact join.
 
 Defined results: null or blank text has an empty set, is linked with nothing and is its own component; with fewer words than
 a shingle the whole sequence is the only shingle; a null doc_id has a null component_id and is kept; rows that share a
-doc_id are one document. Columns besides doc_id and text are ignored.
+doc_id are one document; repeated rows share their result; of equal candidates the smaller id is tried first, which changes no
+result; very long texts are read whole by one task; an empty table gives an empty table; columns besides doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from pyspark.sql import Window
 from .common import Powers, find_words, gram_hashes, materialize, mix, prefix_sums, record_batch, shared_dir, span_hashes, text_slices, word_hashes
 
 TREES, DEPTH, ROOT, NEAR, ROUNDS, HOPS = 20, 6, 4, 3, 2, 2
+CROWD, DEVIATIONS = 2_000, 7.5
 STAR = 256
 KEY = ["did", "tkey"]
 
@@ -169,6 +178,26 @@ def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
     return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "n", "token", "place")
 
 
+def cut_regions(each: DataFrame, crowd: int) -> DataFrame:
+    """each with `sub`, the part of its region that one task sorts: deeper and deeper prefixes of crowded regions."""
+    first = lambda x: F.shiftrightunsigned(x, 32)
+    whole = each.groupBy("tree", "region").agg(F.count("*").alias("n4")).where(F.col("n4") > crowd)
+    inside = each.join(whole, ["tree", "region"]).groupBy("tree", "region", "rest").agg(F.count("*").alias("n6"))
+    fifth = inside.groupBy("tree", "region", first(F.col("rest")).alias("fifth")).agg(F.sum("n6").alias("n5"))
+    depth = inside.withColumn("fifth", first(F.col("rest"))).join(fifth, ["tree", "region", "fifth"])
+    depth = materialize(depth.select("tree", "region", "rest", "n5", "n6"), "depths")
+    if depth.isEmpty():
+        return each.withColumn("sub", F.col("region")).withColumn("cut", F.lit(False))
+    parts = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n6") / crowd))
+    sub = F.when(F.col("n5").isNull(), F.col("region")).when(F.col("n5") <= crowd, F.xxhash64("region", first(F.col("rest")))).otherwise(F.xxhash64("region", "rest", F.when(F.col("n6") > crowd, parts).otherwise(0)))
+    return each.join(depth, ["tree", "region", "rest"], "left").withColumn("sub", sub).withColumn("cut", F.col("n5").isNotNull()).drop("n5", "n6")
+
+
+def common_prefix(rest, other):
+    """How many values two orders of one region share."""
+    return ROOT + (F.shiftrightunsigned(rest, 32) == F.shiftrightunsigned(other, 32)).cast("int") + (rest == other).cast("int")
+
+
 def mixed_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
     """The members (tree, region, node, ...) of regions with more than one component, with their comp."""
     members = members.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -207,7 +236,7 @@ def other_component(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
 
 
-def near_groups(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 3, percent: int = 85, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept and the row key (did, tkey)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("did"), F.xxhash64("text").alias("tkey"))
     signed = materialize(base.mapInArrow(_sign(words), SIGNED), "signed")
@@ -215,15 +244,24 @@ def near_groups(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame
         F.min("doc_id").alias("lo"), F.min(F.struct(*KEY)).alias("at"), F.first("regions").alias("regions"), F.first("rests").alias("rests"), F.first("low").alias("low"), F.first("high").alias("high")
     )
     apart = (100 - percent) / 200
-    slack = int(TREES * DEPTH * apart + 5.5 * (TREES * DEPTH * apart * (1 - apart)) ** 0.5)
+    slack = int(TREES * DEPTH * apart + DEVIATIONS * (TREES * DEPTH * apart * (1 - apart)) ** 0.5)
     differ = lambda x: F.bit_count(F.col("low").bitwiseXOR(x["low"])) + F.bit_count(F.col("high").bitwiseXOR(x["high"]))
     each = classes.select("node", "low", "high", F.posexplode(F.arrays_zip("regions", "rests")).alias("tree", "x")).select("node", "low", "high", "tree", F.col("x.regions").alias("region"), F.col("x.rests").alias("rest"))
-    order = Window.partitionBy("tree", "region").orderBy("rest", "node")
-    me = F.struct("node", "low", "high")
+    each = cut_regions(each, crowd)
+    order = Window.partitionBy("tree", "sub").orderBy("rest", "node")
+    me = F.struct("node", "low", "high", "rest")
     placed = each.select("*", F.row_number().over(order).alias("place"), *(F.lag(me, i).over(order).alias(f"x{i}") for i in range(1, NEAR + 1)), F.first(me).over(order).alias("x0"))
-    near = placed.where("place > 1").withColumn("x", F.explode(F.array(*(f"x{i}" for i in range(NEAR + 1))))).where("x is not null and x.node <> node").withColumn("differ", differ(F.col("x"))).where(F.col("differ") <= slack)
+    longest = F.greatest(*(F.coalesce(common_prefix(F.col("rest"), F.col(f"x{i}.rest")), F.lit(0)) for i in range(1, NEAR + 1)))
+    before = [F.when((F.col("place") <= NEAR + 1) | (common_prefix(F.col("rest"), F.col(f"x{i}.rest")) == F.col("longest")), F.col(f"x{i}")) for i in range(1, NEAR + 1)]
+    near = placed.where("place > 1").withColumn("longest", longest).select("node", "low", "high", F.explode(F.array(F.col("x0"), *before)).alias("x"))
+    if not each.where("cut").isEmpty():
+        heads = each.where("cut").groupBy("tree", "region", "sub").agg(F.min(F.struct("rest", "node", "low", "high")).alias("h"))
+        whole = heads.groupBy("tree", "region").agg(F.min("h").alias("w"))
+        near = near.unionByName(heads.join(whole, ["tree", "region"]).select("h.node", "h.low", "h.high", F.struct("w.node", "w.low", "w.high", "w.rest").alias("x")))
+    near = near.where("x is not null and x.node <> node").withColumn("differ", differ(F.col("x"))).where(F.col("differ") <= slack)
     pairs = materialize(near.groupBy(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).agg(F.min("differ").alias("differ")), "pairs")
-    large = materialize(placed.where(F.col("place") > NEAR + 1).select("tree", "region").distinct().join(each, ["tree", "region"]), "large")
+    large = placed.where((F.col("place") > NEAR + 1) | F.col("cut")).select("tree", "region").distinct().join(each, ["tree", "region"])
+    large = materialize(large.select("tree", "region", "sub", "rest", "node", "low", "high"), "large")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     wanted = classes.join(needed, "node", "left_semi").select("node", "at.did", "at.tkey")
     texts = materialize(base.join(wanted.hint("shuffle_hash"), KEY).select("node", "text").dropDuplicates(["node"]), "texts")
