@@ -18,10 +18,16 @@ SLICE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none and is a local one.
+
+    A cluster that names no folder is an error: files in a machine's own folder would be lost to the other executors.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not current.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)

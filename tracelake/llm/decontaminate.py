@@ -7,11 +7,14 @@ by an alignment banded alike, which gives the edits of the best match. Items may
 
 Texts are compared as letters in lower case (ASCII, and all letters of two bytes in UTF-8: accented Latin, Greek, Cyrillic and
 others), digits and bytes of other scripts, with one space for any run of the rest.
-The benchmark is read in blocks of at most `block_bytes`, each held against all documents: memory stays bounded however large
-the benchmark grows.
+The benchmark is a stated query set, read in blocks of at most `block_bytes` and held against all documents one block at a time:
+with more than one, each block's result is written before the next is read, so that driver, plan and tasks never hold more than
+one, however large the benchmark grows. It costs a scan of the documents for each block.
 
 Defined results: null or empty texts and items match nothing; items shorter than 2 * q characters are matched exactly, as
-whole words; a document has one row for each item it holds (the best place), rows that share a doc_id are one document.
+whole words; a document has one row for each item it holds, at its best place (of equal ones the first), rows that share a
+doc_id are one document and repeated rows each have theirs; a very long text is read whole by one task; without documents or
+items there are no rows; other columns are ignored by `find` and kept by `drop_contaminated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, byte_codes, gram_hashes, prefix_sums, text_slices
+from .common import Powers, byte_codes, gram_hashes, materialize, prefix_sums, text_slices
 
 Q, RATE, BLOCK_BYTES, SLOTS = 12, 0.05, 4 << 20, 1 << 22
 
@@ -200,16 +203,29 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
     """doc_id, tkey, item_id, edits, begin, end (UTF-8 bytes): each document and item it holds, at its best place."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tkey")).where("text is not null")
     kind = "doc_id long, tkey long, item_id long, edits int, begin int, end int"
-    out = docs.sparkSession.createDataFrame([], kind)
-    for block in blocks(benchmark, block_bytes):
-        out = out.unionByName(rows.mapInArrow(_find(block, q, rate), kind))
-    return out
-
-
-def _clean(blocks_, q, rate, names):
+    out = None
+    for block, last in _with_last(blocks(benchmark, block_bytes)):
+        found = rows.mapInArrow(_find(block, q, rate), kind)
+        found = found if last else materialize(found, "found")
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], kind) if out is None else out
+
+
+def _with_last(items):
+    """Each item with whether it is the last one."""
+    held = None
+    for item in items:
+        if held is not None:
+            yield held, False
+        held = item
+    if held is not None:
+        yield held, True
+
+
+def _clean(items, q, rate, names):
     def run(batches):
         pw = Powers()
-        indexes = [x for items in blocks_ for x in [Index([y for y in items if len(y[1]) >= 2 * q], q, rate)] + [Index([y for y in items if len(y[1]) == n], n, rate) for n in sorted({len(y[1]) for y in items if len(y[1]) < 2 * q})]]
+        indexes = [Index([y for y in items if len(y[1]) >= 2 * q], q, rate)] + [Index([y for y in items if len(y[1]) == n], n, rate) for n in sorted({len(y[1]) for y in items if len(y[1]) < 2 * q})]
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for at, _, data, starts in text_slices(batch):
@@ -223,6 +239,7 @@ def _clean(blocks_, q, rate, names):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the documents that hold an item, one pass for each block of the benchmark."""
-    for block in blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(_clean([block], q, rate, docs.columns), docs.schema)
+    for block, last in _with_last(blocks(benchmark, block_bytes)):
+        docs = docs.mapInArrow(_clean(block, q, rate, docs.columns), docs.schema)
+        docs = docs if last else materialize(docs, "clean")
     return docs

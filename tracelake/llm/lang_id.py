@@ -6,7 +6,10 @@ windows' scores weighted by their bytes. Learning uses at most `per_lang` docume
 documented bound of the sample; windows evenly spread over the text, at most `WINDOWS_EACH` of each), chosen by a hash of the
 doc_id; documents whose crc32(doc_id as text) mod 5 is 0, or whose doc_id is null, are never learned from.
 
-Defined results: null text, or text without a letter, is `und` with score 0; where nothing can be learned, all is `und`.
+Defined results: null text, or text without a letter, is `und` with score 0; where nothing can be learned, all is `und`; of equal
+scores the language first by code point wins; repeated rows and equal texts have equal results; very long texts are read whole,
+window by window; an empty table gives an empty table; other columns are ignored by `predict` and kept by `keep_known`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -203,6 +206,10 @@ def _keep(langs, weights, schema, least):
     return run
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], dict | None], least: float = 0.3) -> DataFrame:
-    """The documents whose language the model tells with a score of at least `least`, with all their columns."""
-    return docs.mapInArrow(_keep(*model, docs.schema, least), docs.schema)
+def keep_known(docs: DataFrame, model: tuple[list[str], dict | None], above: float = 1.2) -> DataFrame:
+    """The documents whose language the model tells with a score of at least `above` times an even share, with all their columns.
+
+    Scores are shares over the learned languages, so a text that none of them fits has a best score near 1 / their number. With
+    one language learned, every text with a letter stays.
+    """
+    return docs.mapInArrow(_keep(*model, docs.schema, min(1.0, above / max(len(model[0]), 1))), docs.schema)
