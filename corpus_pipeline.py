@@ -13,7 +13,7 @@ from tracelake.llm.common import materialize, table
 
 
 def language_id(spark, docs, sf_dir):
-    """Drops documents without a letter and those whose language no score of 0.3 or more tells."""
+    """Drops documents without a letter and those that no learned language fits clearly better than an even share."""
     return lang_id.keep_known(docs, lang_id.learn(docs))
 
 
