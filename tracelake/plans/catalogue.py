@@ -13,7 +13,7 @@ from ..operators.frame import Frame
 from ..operators.memo import Storage
 from ..operators.model import NewArgDefault, op
 from ..sources.ingest import line_key, open_log, read
-from .twins import FACTS, LINE, TRADE, call, cid, hid, io, ref, rows, union, wide
+from .twins import FACTS, LINE, TRADE, call, cid, hid, io, members, ref, rows, union, wide
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -184,8 +184,21 @@ def q14_content_dedupe(spark, sf_dir):
 # frames
 
 
-@query(union([rows("ship_line", f"'{n}' as node", f"count(distinct {ref('ship_line', n)}) as n") for n in ("order", "part", "supplier", "line")] + [rows("ship_line", "'ship_line' as node", f"count(distinct {call('ship_line')}) as n")]))
-def q15_frame_from_op_stats(spark, sf_dir):
+SHIP, SHIP_NODES = call("ship_line"), ("order", "part", "supplier", "line", "ship_line")
+
+
+def shipped(where: str = "true", names=SHIP_NODES, of=None):
+    """(node, id, from) of the calls of ship_line and what they touch."""
+    return [((of or {}).get(n, n), SHIP if n == "ship_line" else ref("ship_line", n), f"lineitem where {where}") for n in names]
+
+
+@query(members(shipped()))
+def q15_frame_from_op(spark, sf_dir):
+    return Frame.from_op(open_log(spark, sf_dir, ("ship_line",)), "ship_line").table()
+
+
+@query(union([rows("ship_line", f"'{n}' as node", f"count(distinct {ref('ship_line', n)}) as n") for n in ("order", "part", "supplier", "line")] + [rows("ship_line", "'ship_line' as node", f"count(distinct {SHIP}) as n")]))
+def q51_frame_stats(spark, sf_dir):
     frame = Frame.from_op(open_log(spark, sf_dir, ("ship_line",)), "ship_line")
     return frame.get_var_stats().toDF("node", "n").unionAll(frame.get_func_stats().toDF("node", "n"))
 
@@ -218,9 +231,6 @@ def q17_sink_elements(spark, sf_dir):
     return reduce(DataFrame.unionAll, [x.select(F.lit(n).alias("node"), "hid") for n, x in ends.items()])
 
 
-SHIP = call("ship_line")
-
-
 @query(
     union(
         [
@@ -240,18 +250,13 @@ def flagged(spark, sf_dir, flag: str) -> Frame:
     return Frame.from_vars(log, {"line": lines}).expand_back("line")
 
 
-def flagged_rows(where: str) -> str:
-    names = ("order", "part", "supplier", "line")
-    return union([rows("ship_line", "'ship_line' as node", f"{SHIP} as hid", where=where)] + [rows("ship_line", f"'{n}'", ref("ship_line", n), where=where) for n in names], False)
-
-
 def parts(flag):
     return {n: f"select distinct {SHIP if n == 'ship_line' else ref('ship_line', n)} as hid from lineitem where l_returnflag = '{flag}'" for n in ("ship_line", "order", "part", "supplier", "line")}
 
 
-@query(f"select node, count(*) as n from ({flagged_rows("l_returnflag in ('A', 'R')")}) group by node")
+@query(members(shipped("l_returnflag in ('A', 'R')")))
 def q19_frame_union(spark, sf_dir):
-    return (flagged(spark, sf_dir, "A") | flagged(spark, sf_dir, "R")).table().groupBy("node").agg(F.count("*").alias("n"))
+    return (flagged(spark, sf_dir, "A") | flagged(spark, sf_dir, "R")).table()
 
 
 @query(union(f"select '{n}' as node, hid from ({parts('A')[n]} intersect {parts('R')[n]})" for n in parts("A")))
@@ -278,10 +283,9 @@ def q21_frame_difference(spark, sf_dir):
     return (placed(spark, sf_dir, "1-URGENT") - placed(spark, sf_dir, "5-LOW")).table()
 
 
-@query(union(rows("ship_line", f"'{'purchase' if n == 'order' else n}' as node", f"count(distinct {SHIP if n == 'ship_line' else ref('ship_line', n)}) as n") for n in ("order", "supplier", "line", "ship_line")))
+@query(members(shipped(names=("order", "supplier", "line", "ship_line"), of={"order": "purchase"})))
 def q22_rename_and_drop(spark, sf_dir):
-    frame = Frame.from_op(open_log(spark, sf_dir, ("ship_line",)), "ship_line").rename({"order": "purchase"}).drop("part")
-    return frame.table().groupBy("node").agg(F.count("*").alias("n"))
+    return Frame.from_op(open_log(spark, sf_dir, ("ship_line",)), "ship_line").rename({"order": "purchase"}).drop("part").table()
 
 
 ORDER_WIDE, LINE_WIDE = wide("place_order"), wide("ship_line")
@@ -334,61 +338,45 @@ def q28_partial_label_table(spark, sf_dir):
     return Frame.from_vars(log, {"document": docs}).expand_forward().df("document", "label", values="refs")
 
 
-def sizes(frame: Frame) -> DataFrame:
-    return frame.table().groupBy("node").agg(F.count("*").alias("n"))
-
-
-SHIPPED = {
-    "line": (f"count(distinct {hid('line', LINE)})", "lineitem"),
-    "ship_line": (f"count(distinct {SHIP})", "lineitem"),
-    "order": ("count(distinct l_orderkey)", "lineitem"),
-    "part": ("count(distinct l_partkey)", "lineitem"),
-    "supplier": ("count(distinct l_suppkey)", "lineitem"),
-    "place_order": ("count(*)", "orders where o_orderkey in (select l_orderkey from lineitem)"),
-    "customer": ("count(distinct o_custkey)", "orders where o_orderkey in (select l_orderkey from lineitem)"),
-    "register_customer": ("count(*)", "customer where c_custkey in (select o_custkey from orders where o_orderkey in (select l_orderkey from lineitem))"),
-    "register_supplier": ("count(*)", "supplier where s_suppkey in (select l_suppkey from lineitem)"),
-}
+SHIPPED_ORDERS = "orders where o_orderkey in (select l_orderkey from lineitem)"
+SHIPPED_CUSTOMERS = f"customer where c_custkey in (select o_custkey from {SHIPPED_ORDERS})"
+SHIPPED_SUPPLIERS = "supplier where s_suppkey in (select l_suppkey from lineitem)"
 
 
-@query(union(f"select '{n}' as node, {x} as n from {t}" for n, (x, t) in SHIPPED.items()))
+@query(
+    members(
+        [
+            *shipped(),
+            ("place_order", call("place_order"), SHIPPED_ORDERS),
+            ("customer", ref("place_order", "customer"), SHIPPED_ORDERS),
+            ("register_customer", call("register_customer"), SHIPPED_CUSTOMERS),
+            ("register_supplier", call("register_supplier"), SHIPPED_SUPPLIERS),
+            ("nation", ref("register_customer", "nation"), SHIPPED_CUSTOMERS),
+            ("nation", ref("register_supplier", "nation"), SHIPPED_SUPPLIERS),
+        ]
+    )
+)
 def q29_expand_back_from_lines(spark, sf_dir):
-    frame = Frame.from_op(trade(spark, sf_dir), "ship_line").expand_back(["order", "supplier"]).expand_back(["customer"])
-    return sizes(frame).where("node not in ('nation')")
+    return Frame.from_op(trade(spark, sf_dir), "ship_line").expand_back(["order", "supplier"]).expand_back(["customer"]).table()
 
 
 OWN = f"(select o_orderkey from orders where o_custkey in {BUILDING})"
 
 
-@query(
-    union(
-        [
-            "select 'customer' as node, count(*) as n from customer where c_mktsegment = 'BUILDING'",
-            f"select 'place_order', count(*) from orders where o_custkey in {BUILDING}",
-            f"select 'order', count(*) from orders where o_custkey in {BUILDING}",
-        ]
-        + [f"select '{n}', count(distinct {SHIP if n == 'ship_line' else ref('ship_line', n)}) from lineitem where l_orderkey in {OWN}" for n in ("ship_line", "line")]
-    )
-)
+def placed_orders(where: str = "true"):
+    return [("place_order", call("place_order"), f"orders where {where}"), ("order", ref("place_order", "order"), f"orders where {where}")]
+
+
+@query(members([("customer", hid("customer", "c_custkey"), "customer where c_mktsegment = 'BUILDING'"), *placed_orders(f"o_custkey in {BUILDING}"), *shipped(f"l_orderkey in {OWN}", ("ship_line", "line"))]))
 def q30_expand_forward_from_customers(spark, sf_dir):
-    return sizes(Frame.from_vars(trade(spark, sf_dir), {"customer": building(spark, sf_dir)}).expand_forward(recursive=True))
+    return Frame.from_vars(trade(spark, sf_dir), {"customer": building(spark, sf_dir)}).expand_forward(recursive=True).table()
 
 
-@query(
-    union(
-        [
-            "select 'customer' as node, count(distinct o_custkey) as n from orders",
-            "select 'place_order', count(*) from orders",
-            "select 'order', count(*) from orders",
-            f"select 'ship_line', count(distinct {SHIP}) from lineitem",
-            f"select 'line', count(distinct {hid('line', LINE)}) from lineitem",
-        ]
-    )
-)
-def q31_expand_all_stats(spark, sf_dir):
+@query(members([("customer", ref("place_order", "customer"), "orders"), *placed_orders(), *shipped(names=("ship_line", "line"))]))
+def q31_expand_all(spark, sf_dir):
     """Forward steps add the outputs of the calls found; their other inputs get no variable."""
     log = open_log(spark, sf_dir, ("place_order", "ship_line"))
-    return sizes(Frame.from_op(log, "place_order").expand_all())
+    return Frame.from_op(log, "place_order").expand_all().table()
 
 
 SMALL_ORDERS, LOW = "(select o_orderkey from orders where o_orderpriority = '1-URGENT')", "(select s_suppkey from supplier where s_acctbal < 5000)"
@@ -402,28 +390,17 @@ def restricted(spark, sf_dir) -> Frame:
     return frame.select_subsets({**frame.elts, "order": orders, "supplier": suppliers})
 
 
-@query(
-    union(
-        [
-            f"select 'order' as node, count(distinct l_orderkey) as n from lineitem where l_orderkey in {SMALL_ORDERS}",
-            f"select 'supplier', count(distinct l_suppkey) from lineitem where l_suppkey in {LOW}",
-            "select 'part', count(distinct l_partkey) from lineitem",
-        ]
-        + [f"select '{n}', count(distinct {x}) from lineitem where l_orderkey in {SMALL_ORDERS} and l_suppkey in {LOW}" for n, x in (("ship_line", SHIP), ("line", hid("line", LINE)))]
-    )
-)
+WITHIN = [*shipped(f"l_orderkey in {SMALL_ORDERS}", ("order",)), *shipped(f"l_suppkey in {LOW}", ("supplier",))]
+
+
+@query(members([*WITHIN, *shipped(names=("part",)), *shipped(f"l_orderkey in {SMALL_ORDERS} and l_suppkey in {LOW}", ("ship_line", "line"))]))
 def q32_downstream_strong(spark, sf_dir):
-    return sizes(restricted(spark, sf_dir).downstream("order", "supplier", "part"))
+    return restricted(spark, sf_dir).downstream("order", "supplier", "part").table()
 
 
-@query(
-    union(
-        [f"select 'order' as node, count(distinct l_orderkey) as n from lineitem where l_orderkey in {SMALL_ORDERS}", f"select 'supplier', count(distinct l_suppkey) from lineitem where l_suppkey in {LOW}"]
-        + [f"select '{n}', count(distinct {x}) from lineitem where l_orderkey in {SMALL_ORDERS} or l_suppkey in {LOW}" for n, x in (("ship_line", SHIP), ("line", hid("line", LINE)))]
-    )
-)
+@query(members([*WITHIN, *shipped(f"l_orderkey in {SMALL_ORDERS} or l_suppkey in {LOW}", ("ship_line", "line"))]))
 def q33_downstream_weak(spark, sf_dir):
-    return sizes(restricted(spark, sf_dir).downstream("order", "supplier", how="weak"))
+    return restricted(spark, sf_dir).downstream("order", "supplier", how="weak").table()
 
 
 @query(
@@ -488,32 +465,30 @@ def q38_list_aggregate(spark, sf_dir):
     return lists.select("orderkey", F.size("elems").cast("long").alias("n"), F.col("cid").alias("list_cid"))
 
 
-@query(
-    union(
-        [
-            f"select 'line' as node, count(*) as n from (select distinct {hid('line', LINE)} from lineitem where l_extendedprice < 20000)",
-            f"select 'ship_line', count(distinct {SHIP}) from lineitem where l_extendedprice < 20000 or l_partkey in (select p_partkey from part where p_retailprice < 20000) or l_orderkey in (select o_orderkey from orders where o_totalprice < 20000) or l_suppkey in (select s_suppkey from supplier where s_acctbal < 20000)",
-            "select 'part', count(distinct l_partkey) from lineitem where l_partkey in (select p_partkey from part where p_retailprice < 20000)",
-            "select 'order', count(distinct l_orderkey) from lineitem where l_orderkey in (select o_orderkey from orders where o_totalprice < 20000)",
-            "select 'supplier', count(distinct l_suppkey) from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal < 20000)",
-        ]
-    )
-)
+BELOW = {
+    "line": "l_extendedprice < 20000",
+    "part": "l_partkey in (select p_partkey from part where p_retailprice < 20000)",
+    "order": "l_orderkey in (select o_orderkey from orders where o_totalprice < 20000)",
+    "supplier": "l_suppkey in (select s_suppkey from supplier where s_acctbal < 20000)",
+}
+
+
+@query(members([*(x for n, w in BELOW.items() for x in shipped(w, (n,))), *shipped(" or ".join(BELOW.values()), ("ship_line",))]))
 def q39_less_than(spark, sf_dir):
-    return sizes(Frame.from_op(trade(spark, sf_dir), "ship_line") < 20000)
+    return (Frame.from_op(trade(spark, sf_dir), "ship_line") < 20000).table()
 
 
 GONE = f"(select o_orderkey from orders where o_custkey in {BUILDING})"
 
 
 @query(
-    f"""select op, direction, count(*) as n from ({io(TRADE)}) where call_hid not in (
-  select {call("place_order")} from orders where o_custkey in {BUILDING} union all select {SHIP} from lineitem where l_orderkey in {GONE}) group by all"""
+    f"""select op, call_hid, name, direction, ref_hid from ({io(TRADE)}) where call_hid not in (
+  select {call("place_order")} from orders where o_custkey in {BUILDING} union all select {SHIP} from lineitem where l_orderkey in {GONE})"""
 )
 def q40_drop_with_dependents(spark, sf_dir):
     log = trade(spark, sf_dir)
     calls = provenance.consumers(log, building(spark, sf_dir), ["place_order"])
-    return provenance.remaining(log, calls).groupBy("op", "direction").agg(F.count("*").alias("n"))
+    return provenance.remaining(log, calls).select("op", "call_hid", "name", "direction", "ref_hid")
 
 
 # further operators
@@ -537,43 +512,26 @@ def q42_var_info(spark, sf_dir):
     return orders_and_lines(spark, sf_dir).var_info("order")
 
 
-@query(
-    union(
-        [
-            "select 'supplier' as node, count(*) as n from supplier where s_suppkey in (select l_suppkey from lineitem where l_returnflag = 'N')",
-            f"select 'ship_line', count(distinct {SHIP}) from lineitem where l_returnflag = 'N'",
-            f"select 'line', count(distinct {hid('line', LINE)}) from lineitem where l_returnflag = 'N'",
-            "select 'order', count(distinct l_orderkey) from lineitem where l_returnflag = 'N'",
-            "select 'part', count(distinct l_partkey) from lineitem where l_returnflag = 'N'",
-        ]
-    )
-)
+@query(members(shipped("l_returnflag = 'N'")))
 def q43_upstream(spark, sf_dir):
     frame = Frame.from_op(open_log(spark, sf_dir, ("ship_line",)), "ship_line")
     lines = ids(table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'"), "line", line_key())
-    return sizes(frame.select_subsets({**frame.elts, "line": lines}).upstream("line"))
+    return frame.select_subsets({**frame.elts, "line": lines}).upstream("line").table()
 
 
-@query(
-    union(
-        [
-            "select 'order' as node, count(distinct l_orderkey) as n from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'O')",
-            f"select 'ship_line', count(distinct {SHIP}) from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'O')",
-        ]
-    )
-)
+@query(members(shipped("l_orderkey in (select o_orderkey from orders where o_orderstatus = 'O')", ("order", "ship_line"))))
 def q44_isin_hids(spark, sf_dir):
     frame = Frame.from_op(open_log(spark, sf_dir, ("ship_line",)), "ship_line")
     orders = ids(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), "order", "o_orderkey")
-    return sizes(frame.isin(orders, by="hid"))
+    return frame.isin(orders, by="hid").table()
 
 
-@query("select 'order' as node, count(*) as n from orders union all select 'customer', count(distinct o_custkey) from orders union all select 'place_order', count(*) from orders")
+@query(members([("customer", ref("place_order", "customer"), "orders"), *placed_orders()]))
 def q45_merge_vars(spark, sf_dir):
     log = open_log(spark, sf_dir, ("place_order",))
     urgent = ids(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), "order", "o_orderkey")
     frame = Frame.from_op(log, "place_order").add_refs("urgent", urgent)
-    return sizes(frame.merge_vars())
+    return frame.merge_vars().table()
 
 
 @query("select quantity, part, quantity * 10 + part as weight from (select distinct cast(l_quantity as bigint) as quantity, l_partkey as part from lineitem)")
@@ -595,9 +553,9 @@ def q47_memo_composition(spark, sf_dir):
     return table_.distinct()
 
 
-@query(f"select '{'user'}' as node, count(distinct user_id) as n from events union all select 'event', count(*) from events union all select 'emit_event', count(*) from events")
+@query(members([(n, call("emit_event") if n == "emit_event" else ref("emit_event", n), "events") for n in ("user", "event", "emit_event")]))
 def q48_events_frame(spark, sf_dir):
-    return sizes(Frame.from_op(open_log(spark, sf_dir, ("emit_event",)), "emit_event"))
+    return Frame.from_op(open_log(spark, sf_dir, ("emit_event",)), "emit_event").table()
 
 
 @query(f"select {hid('turn', "concat_ws('.', c.conv_id, c.turn)")} as turn, count(*)::bigint as ancestors from conversations c join conversations p on p.conv_id = c.conv_id and p.turn < c.turn where c.turn > 0 group by 1")

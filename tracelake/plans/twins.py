@@ -57,3 +57,8 @@ def io(ops, direction: str | None = None) -> str:
 
 def union(parts, all_: bool = True) -> str:
     return (" union all " if all_ else " union ").join(f"({p})" for p in parts)
+
+
+def members(parts) -> str:
+    """(node, hid) rows of a frame from (node, id expression, from and where)."""
+    return union([f"select '{n}' as node, {x} as hid from {t}" for n, x, t in parts], False)
