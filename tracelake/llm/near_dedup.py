@@ -13,7 +13,7 @@ where the rarest shingles of two classes meet, which every link must.
 
 Links can only be lost in two places, both by chance of hashing: two sets at the threshold share no region with probability
 (1 - s**4)**20 (4e-7 at s = 0.85, 3e-5 at 0.8), and a 120-bit sketch that is read before full sets drops a pair at the threshold
-with a probability below 1e-9 (more than `DEVIATIONS` standard deviations off). Most links have other ways through their group. All others are
+with probability 2.7e-6 (more than 24 of 120 bits off at 0.85; 6e-7 at 0.8). Most links have other ways through their group. All others are
 confirmed on full sets, first one link per class (the most promising), then every remaining candidate between different
 components. README states the recall measured against an exact join.
 
@@ -35,7 +35,7 @@ from pyspark.sql import Window
 from .common import Powers, find_words, gram_hashes, materialize, mix, prefix_sums, record_batch, shared_dir, span_hashes, text_slices, word_hashes
 
 TREES, DEPTH, ROOT, NEAR, ROUNDS, HOPS = 20, 6, 4, 3, 2, 2
-CROWD, DEVIATIONS = 2_000, 7.5
+CROWD, DEVIATIONS = 2_000, 5.5
 STAR = 256
 KEY = ["did", "tkey"]
 
