@@ -177,7 +177,10 @@ class Op:
 
     @property
     def signature(self) -> inspect.Signature:
-        return inspect.signature(self.f)
+        try:  # annotations may be texts
+            return inspect.signature(self.f, eval_str=True)
+        except Exception:  # noqa: BLE001  names that are not known here: such a parameter is an atom
+            return inspect.signature(self.f)
 
     def __repr__(self) -> str:
         return f"Op({self.name}, nout={self.nout}, output_names={self.output_names}, version={self.version})"
@@ -203,7 +206,8 @@ class Op:
         return {self.output_name(i): v for i, v in enumerate(values)}
 
     def return_annotations(self, n: int) -> list:
-        said = self.f.__annotations__.get("return") if self.f is not None else None
+        said = self.signature.return_annotation if self.f is not None else None
+        said = None if said is inspect.Signature.empty else said
         if getattr(said, "__origin__", None) is tuple:
             args = [a for a in said.__args__ if a is not Ellipsis]
             return args if len(args) == n else args[:1] * n

@@ -1,5 +1,6 @@
-"""The query catalogue: each operator family applied to the test tables, and the same in SQL."""
+"""The query catalogue and its SQL twins."""
 
+from . import stored  # noqa: F401  its queries add themselves
 from .catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
