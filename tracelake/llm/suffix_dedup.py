@@ -145,7 +145,8 @@ def _expand(length):
 
     def settle(block):
         """Spans of a block: a list of groups, each a dict of places by their bytes."""
-        texts = [around for group in block if len(group) > 1 or len(next(iter(group))) > length for around in group]
+        # bytes that stand alone in their group, at several places, are settled by that
+        texts = [around for group in block if len(group) > 1 or len(next(iter(group.values()))) == 1 for around in group]
         data = np.frombuffer(b"".join(x + bytes([SEP]) for x in texts), np.uint8)
         twice, at, found = repeated(data, length), 0, {}
         for around in texts:
@@ -225,9 +226,12 @@ def cut_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     pairs = sample.dropDuplicates(["gram", *KEY]).join(shared, "gram")
     lists = materialize(pairs.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "hot")).alias("own")).select(*KEY, F.col("own.gram").alias("grams"), F.col("own.hot").alias("hots")), "grams")
     spread = base.join(lists.hint("shuffle_hash"), KEY).mapInArrow(_spread(length, gram, segment), RUNS)
+    any_hot = not lists.where(F.exists("hots", lambda x: x)).isEmpty()
+    if any_hot:  # three branches read it
+        spread = materialize(spread, "runs")
     cold = spread.where("count > 0")
     spans = cold.repartition("gram").sortWithinPartitions("gram").select("gram", "begin", *KEY, "around").mapInArrow(_expand(length), "did long, tkey long, begin int, end int")
-    if not lists.where(F.exists("hots", lambda x: x)).isEmpty():
+    if any_hot:
         strings = ["gram", "also"]
         single = spread.where("count = 0").select(*strings, *KEY, "begin")
         again = single.groupBy(*strings).agg(F.sum(F.when(F.col("begin") < 0, 2).otherwise(1)).alias("n")).where("n > 1").select(*strings)
