@@ -225,6 +225,7 @@ def evaluate(frame: Frame, nodes=(), values: str = "objs") -> pd.DataFrame:
         storage._refs_of(set(hids) - storage._shapes.keys())
         refs = {h: storage.load_ref(h) for h in hids}
         got = dict(zip(refs, storage.unwrap(list(refs.values())), strict=True))
+        got |= {h: name for h, r in refs.items() if (name := storage.pointer_of(r)) is not None}  # a named value stands by its name
         cell = lambda x: None if not isinstance(x, str) else got[x] if "," not in x else tuple(got[h] for h in x.split(","))  # noqa: B023, E731
         out[c] = pd.Series([cell(x) for x in out[c]], index=out.index, dtype=object)
     return out

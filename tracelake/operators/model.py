@@ -232,7 +232,13 @@ class Op:
 
     def __call__(self, *args, **kwargs):
         storage = Context.storage()
-        return self.f(*args, **kwargs) if storage is None else storage.call(self, args, kwargs)
+        if storage is not None:
+            return storage.call(self, args, kwargs)
+        # without a store markers stand for their values
+        markers = {n: plain(p.default) for n, p in self.signature.parameters.items() if isinstance(p.default, (Ignore, NewArgDefault, ValuePointer))}
+        given = self.signature.bind_partial(*args).arguments if markers else {}
+        rest = {n: v for n, v in markers.items() if n not in given}
+        return self.f(*map(plain, args), **rest | {k: plain(v) for k, v in kwargs.items()})
 
 
 @dataclass(eq=False)
