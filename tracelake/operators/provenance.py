@@ -6,6 +6,8 @@ new in a round is joined with the log and freed of what is known by an anti-join
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +77,31 @@ def closure(log, refs: DataFrame | None, calls: DataFrame | None, back: bool, op
         side = inputs_of(log, seen_calls, ops) if back else outputs_of(log, seen_calls, ops)
         frontier = cut(frontier.unionAll(side.select(F.col("ref_hid").alias("hid"))).distinct())
         seen_refs = frontier
+    known_refs, known_calls = Rounds(seen_refs), Rounds(seen_calls)
     while not frontier.isEmpty():
         step = cut(edges.join(frontier, edges.near == frontier.hid, "left_semi").select("call_hid", "far").distinct())
-        seen_calls = cut(seen_calls.unionAll(step.select("call_hid")).distinct())
-        frontier = cut(step.select(F.col("far").alias("hid")).distinct().join(seen_refs, "hid", "left_anti"))
-        seen_refs = cut(seen_refs.unionAll(frontier))
-    return seen_refs, seen_calls
+        known_calls.add(step.select("call_hid").distinct())
+        frontier = known_refs.add(step.select(F.col("far").alias("hid")).distinct())
+    return known_refs.all, known_calls.all
+
+
+class Rounds:
+    """A growing set of ids: each round writes what is new only, and now and then the parts are written as one."""
+
+    def __init__(self, first: DataFrame, merge: int = 8):
+        self.parts, self.merge = [first], merge
+
+    @property
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, self.parts)
+
+    def add(self, found: DataFrame) -> DataFrame:
+        """Take in ids and give back those that are new."""
+        new = cut(found.join(self.all, found.columns[0], "left_anti"))
+        self.parts.append(new)
+        if len(self.parts) > self.merge:
+            self.parts = [cut(self.all)]
+        return new
 
 
 def dependencies(log, refs: DataFrame | None = None, calls: DataFrame | None = None, ops=None) -> tuple[DataFrame, DataFrame]:
