@@ -64,6 +64,17 @@ def test_pages_of_one_id_and_none(spark):
 # media
 
 
+def test_files_of_several_riff_chunks_and_rec_lists():
+    payload = np.random.default_rng(1).integers(0, 256, 6 * 576, dtype=np.uint8).tobytes()
+    frames, fps = media.read_avi(media.store(payload))
+    chunk = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    rec = chunk(b"LIST", b"rec " + b"".join(chunk(b"00dc", f) for f in frames[2:4]))
+    more = chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + rec + chunk(b"01wb", b"sound") + chunk(b"00dc", frames[4]))) + chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + chunk(b"00db", frames[5])))
+    first = media.store(payload[: 2 * 576])
+    assert media.read_avi(first + more) == (frames, fps) and len(frames) == 6
+    assert media.read_avi(first + more[:-5])[0][:5] == frames[:5]  # cut off in the last frame
+
+
 @pytest.mark.parametrize("n", [1, 2, 50, media.BLOCK + 3])
 def test_storage_keeps_every_byte(n):
     data = np.random.default_rng(n).integers(0, 256, n * 576, dtype=np.uint8).tobytes()

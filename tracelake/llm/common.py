@@ -43,12 +43,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what `materialize` wrote so far; call it once the results that read it are written. The end of the interpreter does it too."""
+    while _written:
+        _remove(spark, _written.pop())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

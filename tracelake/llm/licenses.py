@@ -12,7 +12,9 @@ windows of the whole normalised text, of any start and end that the size bound a
 texts in `license_texts`. A window that lies within another licence's with more shared bigrams is the other's.
 
 Defined results: null or empty text has no lines; a document has one row for each licence it matches, with its best line;
-texts of one word have no bigrams and match nothing; rows that share a doc_id are one document.
+texts of one word have no bigrams and match nothing; rows that share a doc_id, repeated ones included, are one document; of
+lines with equal coefficients the last by code point is shown; very long lines and texts are read whole by one task; an empty
+table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

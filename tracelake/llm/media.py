@@ -5,7 +5,10 @@ and starts a new clip where the difference stands out from its surroundings. `st
 file: a 24 x 24 frame has nine 8 x 8 blocks, so 576 coefficients, and a coefficient of magnitude category 8 carries exactly
 one byte in its extra bits. The format's unit of storage is thus the quantised coefficient, which no transform rounds.
 
-Defined results: null text counts as empty; a null or broken file has no clips; other columns are ignored.
+Defined results: null text counts as empty; a null or broken file has no clips; a file in several RIFF chunks is read through to
+its end; equal texts and files, repeated rows among them, have equal results; of equally large differences the first frame
+begins the clip; very long texts make one file of many frames, which one task holds; an empty table gives an empty table;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,34 +83,51 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
     """Frames in the order of the index (of the movi list where there is no index) and frames a second."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, end, index, fps = 12, None, 0, None, float(FPS)
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        kind = data[at + 8 : at + 12]
-        if name == b"LIST" and kind == b"movi":
-            movi, end = at + 8, min(at + 8 + size, len(data))
-        elif name == b"LIST" and kind == b"hdrl" and data[at + 12 : at + 16] == b"avih":
-            fps = 1e6 / max(1, struct.unpack_from("<I", data, at + 20)[0])
-        elif name == b"idx1":
-            index = data[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
-    if movi is None:
+    frames, fps, found, begin = [], float(FPS), False, 0
+    # files above 1 GB go on in further RIFF chunks, of the form AVIX and without an old index
+    while begin + 12 <= len(data) and data[begin : begin + 4] == b"RIFF" and data[begin + 8 : begin + 12] in (b"AVI ", b"AVIX"):
+        size = struct.unpack_from("<I", data, begin + 4)[0]
+        stop = min(begin + 8 + size, len(data)) if size else len(data)
+        movi, index = None, None
+        for name, at, end in _chunks(data, begin + 12, stop):
+            kind = data[at : at + 4]
+            if name == b"LIST" and kind == b"movi":
+                movi, found = (at, end), True
+            elif name == b"LIST" and kind == b"hdrl" and data[at + 4 : at + 8] == b"avih":
+                fps = 1e6 / max(1, struct.unpack_from("<I", data, at + 12)[0])
+            elif name == b"idx1":
+                index = data[at:end]
+        if movi is not None and index:
+            for name, _, offset, length in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
+                if name[2:] in (b"dc", b"db"):
+                    frames.append(data[movi[0] + offset + 8 : movi[0] + offset + 8 + length])
+        elif movi is not None:
+            frames += _listed(data, movi[0] + 4, movi[1])
+        begin = stop + (stop - begin) % 2
+    if not found:
         raise ValueError("no movi list")
-    frames = []
-    if index:
-        for name, _, offset, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
-            if name[2:] in (b"dc", b"db"):
-                frames.append(data[movi + offset + 8 : movi + offset + 8 + size])
-    else:
-        at = movi + 4
-        while at + 8 <= end:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if name[2:] in (b"dc", b"db"):
-                frames.append(data[at + 8 : at + 8 + size])
-            at += 8 + size + size % 2
     return frames, fps
 
 
+def _chunks(data: bytes, at: int, stop: int):
+    """(name, begin, end) of the chunks between two places."""
+    while at + 8 <= stop:
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        yield data[at : at + 4], at + 8, min(at + 8 + size, stop)
+        at += 8 + size + size % 2
+
+
+def _listed(data: bytes, at: int, stop: int) -> list[bytes]:
+    """Frames of a movi list in its own order, those in rec lists too."""
+    out = []
+    for name, begin, end in _chunks(data, at, stop):
+        if name[2:] in (b"dc", b"db"):
+            out.append(data[begin:end])
+        elif name == b"LIST" and data[begin : begin + 4] == b"rec ":
+            out += _listed(data, begin + 4, end)
+    return out
+
+
 def store(payload: bytes) -> bytes:
     """Bytes, a multiple of 576, as an AVI file."""
     return avi(_frames(np.frombuffer(payload, np.uint8).reshape(-1, UNIT)), SIDE, SIDE)

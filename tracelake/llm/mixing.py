@@ -9,8 +9,10 @@ The prefix sums of a hot source never meet in one task: keys fall into buckets o
 summed first, and only those sums are ordered within a source.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own, the last; a null doc_id draws like
-the text "null"; a missing weight counts as 1; rows that repeat take separately; the table of sources is assumed small
-(one row per source meets in one task).
+the text "null"; a missing weight counts as 1; rows that repeat take separately; ties of keys are ordered by doc_id and size;
+sizes count words of whole texts, however long; an empty table gives an empty table; other columns are ignored, whatever
+their names. The table of sources is assumed small (one row per source meets in one task), as are the sums of a source's
+buckets (one row for about `per_bucket` documents). Rows of one doc_id draw the same key and meet in one bucket.
 """
 
 from __future__ import annotations
