@@ -57,20 +57,36 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: list[str] = []
+
+
+def _keep(spark: SparkSession, path: str) -> None:
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what was spilled so far, and stores without a path; call it once the results that read them are written. The end of
+    the interpreter does it too."""
+    while _written:
+        _forget(spark, _written.pop())
+
+
 def spill(df: DataFrame, by: str | None = None, name: str = "spill") -> DataFrame:
     """df written to the shared folder and read back; with `by`, later filters on that column read only its folder."""
     spark = df.sparkSession
     path = f"{ensure_shared(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    atexit.register(_forget, spark, path)
+    _keep(spark, path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder, removed when the interpreter ends."""
     path = f"{ensure_shared(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    _keep(spark, path)
     return path
 
 
