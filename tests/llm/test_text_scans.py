@@ -6,6 +6,7 @@ import re
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelake.llm import lang_id, licenses, mixing, secrets
@@ -169,6 +170,33 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_scores_are_those_of_a_plain_convolution():
+    rng = np.random.default_rng(8)
+    classes, f = 3, lang_id.FILTERS
+    weights = {f"w{w}": rng.normal(size=(w, 256, f)).astype(np.float32) for w in lang_id.WIDTHS}
+    weights |= {"bias": rng.normal(size=f * 3).astype(np.float32), "out": rng.normal(size=(f * 3, classes)).astype(np.float32), "out_bias": rng.normal(size=classes).astype(np.float32)}
+    x = rng.integers(0, 256, (70, lang_id.WINDOW)).astype(np.uint8)
+    got, table = lang_id.window_scores(x, weights, lang_id._tables(weights)), lang_id.folded()
+    for window, scores in zip(x[::9], got[::9], strict=True):
+        one_hot = np.eye(256)[table[window]]
+        pooled = [max(sum(one_hot[i + j] @ weights[f"w{w}"][j][:, k] for j in range(w)) for i in range(lang_id.WINDOW - w + 1)) for w in lang_id.WIDTHS for k in range(f)]
+        logits = np.maximum(np.array(pooled) + weights["bias"], 0) @ weights["out"] + weights["out_bias"]
+        assert np.allclose(np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum(), scores, atol=1e-4)
+
+
+def test_texts_without_a_language_go_and_others_stay():
+    texts = ["a b", "x"]
+    schema = pa.schema([("text", pa.string())])
+    batch = pa.record_batch([pa.array(texts)], schema=schema)
+    flat = {f"w{w}": np.zeros((w, 256, lang_id.FILTERS), np.float32) for w in lang_id.WIDTHS}
+    for classes in (2, 3, 5):
+        model = flat | {"bias": np.zeros(lang_id.FILTERS * 3, np.float32), "out": np.zeros((lang_id.FILTERS * 3, classes), np.float32), "out_bias": np.zeros(classes, np.float32)}
+        langs = [f"l{i}" for i in range(classes)]
+        kept = lambda m: sum(b.num_rows for b in lang_id._keep(langs, m, schema, 1.2 / classes)([batch]))  # noqa: B023, E731
+        assert kept(model) == 0  # even shares: no language fits
+        assert kept(model | {"out_bias": np.eye(classes, dtype=np.float32)[0] * 2}) == 2
+
+
 def test_language_edge_cases(spark):
     rng = random.Random(1)
     make = lambda words: " ".join(rng.choice(words) for _ in range(30))
