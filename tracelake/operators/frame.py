@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import shared
+from ..sources import keyed, shared
 from . import provenance
 from .graph import Edge, Graph, fresh_function, fresh_variable
 from .model import Op, Ref
@@ -57,14 +57,15 @@ class Frame:
                 name = fresh_variable(variables | {op}, label)
                 variables.add(name)
                 edges.add((name, op, label) if direction == "in" else (op, name, label))
-                elts[name] = log.link(op, direction, label).select(F.col("ref_hid").alias("hid")).distinct()
+                elts[name] = log.elements(op, direction, label)
         return cls(log, Graph(frozenset(variables), ((op, op),), frozenset(edges)), elts, storage, {op}, True)
 
     @classmethod
     def from_vars(cls, log, variables: dict, storage=None) -> Frame:
         def ids(value):
             if isinstance(value, DataFrame):
-                return value.select(F.col(value.columns[0]).alias("hid")).distinct()
+                carries = keyed.keys_of(value) or keyed.fact_of(value)
+                return keyed.distinct(value) if carries else value.select(F.col(value.columns[0]).alias("hid")).distinct()
             value = [value] if isinstance(value, (Ref, str)) else list(value)
             return shared.hids(log.spark, sorted({v.hid if isinstance(v, Ref) else v for v in value}))
 
@@ -159,8 +160,9 @@ class Frame:
         """src and dst: the elements that the edge joins within the frame."""
         src, dst, _ = edge
         f, v = (dst, src) if dst in self.graph.ops else (src, dst)
-        rows = self.link(edge)
-        if f not in self.whole:
+        fact = keyed.fact_of(self.elts[f])
+        rows = self.link(edge) if fact is None else fact.branch(edge[2]).select("call_hid", "name", "ref_hid")
+        if f not in self.whole and fact is None:
             rows = rows.join(self.elts[f].withColumnRenamed("hid", "call_hid"), "call_hid", "left_semi")
         if not self.closed:
             rows = rows.join(self.elts[v].withColumnRenamed("hid", "ref_hid"), "ref_hid", "left_semi")
@@ -169,8 +171,22 @@ class Frame:
     def adjacent_by_edge(self, edge: Edge, hids: DataFrame, direction: str) -> DataFrame:
         """The elements at the other end of an edge: forward from its source, back from its target."""
         near, far = ("src", "dst") if direction == "forward" else ("dst", "src")
+        src, dst, label = edge
+        f, v = (dst, src) if dst in self.graph.ops else (src, dst)
+        if edge[0 if direction == "forward" else 1] == f:
+            made = keyed.fact_of(hids)
+            if made is not None:
+                refs = made.elements(label)
+                return refs if self._holds(v, f, label) else keyed.within(refs, self.elts[v])
+        elif (made := keyed.fact_of(self.elts[f])) is not None:
+            return keyed.of_facts([made.narrowed(label, hids if hids is self.elts[v] else keyed.within(hids, self.elts[v]))])
         return self.pairs(edge).join(hids.select(F.col("hid").alias(near)), near, "left_semi").select(F.col(far).alias("hid")).distinct()
 
+    def _holds(self, variable: str, function: str, label: str) -> bool:
+        """Whether a variable has all references of a function's calls under a label."""
+        known = keyed.keys_of(self.elts[variable])
+        return self.closed or known is not None and known.edges is not None and (self.graph.ops[function], label) in known.edges
+
     def adjacent(self, node: str, hids: DataFrame, direction: str = "both") -> dict[str, DataFrame]:
         """Neighbours of the elements by node, over all edges of the node."""
         found: dict[str, list[DataFrame]] = {}
@@ -179,15 +195,26 @@ class Frame:
                 found.setdefault(edge[other], []).append(self.adjacent_by_edge(edge, hids, way))
         return {n: union_all(parts).distinct() if len(parts) > 1 else parts[0] for n, parts in found.items()}
 
+    def ends(self, n: str, side: str) -> DataFrame | None:
+        """The elements of a node without those at one side of its edges; None where the plan alone says that none are left."""
+        edges, out = self.in_edges(n) if side == "dst" else self.out_edges(n), self.elts[n]
+        if not edges:
+            return out
+        facts = [keyed.fact_of(self.elts[e[0] if side == "dst" else e[1]]) for e in edges] if n in self.graph.variables else []
+        known = keyed.keys_of(out)
+        if known and known.source and any(f is known.source[0] and e[2] == known.source[1] for f, e in zip(facts, edges, strict=True)):
+            return None  # all are references of the calls at the edge
+        if facts and all(facts):
+            for fact, e in zip(facts, edges, strict=True):
+                out = keyed.within(out, fact.elements(e[2]), "left_anti")
+            return out
+        if self.closed and n in self.graph.ops and hasattr(self.log, "facts"):  # every call has every label
+            return None
+        return out.join(union_all(self.pairs(e).select(F.col(side).alias("hid")) for e in edges), "hid", "left_anti")
+
     def _ends(self, side: str) -> dict[str, DataFrame]:
-        edges = self.in_edges if side == "dst" else self.out_edges
-        out = {}
-        for n in self.nodes:
-            out[n] = self.elts[n]
-            if edges(n):
-                touched = union_all(self.pairs(e).select(F.col(side).alias("hid")) for e in edges(n))
-                out[n] = out[n].join(touched, "hid", "left_anti")
-        return out
+        found = {n: self.ends(n, side) for n in self.nodes}
+        return {n: self.elts[n].where("false") if x is None else x for n, x in found.items()}
 
     def source_elts(self) -> dict[str, DataFrame]:
         """Elements that nothing in the frame leads to, by node."""
@@ -211,7 +238,7 @@ class Frame:
         new = {}
         for n in self.nodes:
             part = elts.get(n, empty).select("hid")
-            new[n] = part if trusted or n not in elts else part.distinct().join(self.elts[n], "hid", "left_semi")
+            new[n] = elts[n] if n in elts and (trusted or elts[n] is self.elts[n]) else part if n not in elts else keyed.within(keyed.distinct(elts[n]), self.elts[n])
         return self._with(elts=new, whole=frozenset(), closed=closed)
 
     def drop(self, nodes: Iterable[str] | str) -> Frame:
@@ -239,7 +266,7 @@ class Frame:
         return fresh_function(self.nodes, hint)
 
     def _more(self, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        return self.elts | {n: self.elts[n].unionAll(x.select("hid")).distinct() if n in self.elts else x.select("hid").distinct() for n, x in parts.items()}
+        return self.elts | {n: keyed.union(self.elts[n], x) if n in self.elts else keyed.distinct(x) for n, x in parts.items()}
 
     def add_refs(self, variable: str, refs) -> Frame:
         """More elements of a variable, which may be new."""
@@ -306,7 +333,7 @@ class Frame:
             if ops.setdefault(f, o) != o or f in self.graph.variables:
                 raise ValueError(f"{f} means different things in the two frames")
         graph = Graph(self.graph.variables | other.graph.variables, (), self.graph.edges | other.graph.edges).with_ops(ops)
-        elts = {n: self.elts[n].unionAll(other.elts[n]).distinct() if n in self.elts and n in other.elts else self.elts.get(n, other.elts.get(n)) for n in graph.nodes}
+        elts = {n: keyed.union(self.elts[n], other.elts[n]) if n in self.elts and n in other.elts else self.elts.get(n, other.elts.get(n)) for n in graph.nodes}
         # a function whose edges are the same wherever it stands keeps what `closed` says
         alike = all(set(x.graph.in_edges(f) + x.graph.out_edges(f)) == set(graph.in_edges(f) + graph.out_edges(f)) for x in (self, other) for f in x.graph.ops)
         same = self.closed and other.closed and alike
@@ -317,12 +344,12 @@ class Frame:
         nodes = set(self.nodes) & set(other.nodes)
         graph = self.graph.keeping(nodes)
         graph = Graph(graph.variables & other.graph.variables, (), graph.edges & other.graph.edges).with_ops({f: o for f, o in graph.functions if other.graph.ops.get(f) == o})
-        elts = {n: self.elts[n].join(other.elts[n], "hid", "left_semi") for n in graph.nodes}
+        elts = {n: keyed.within(self.elts[n], other.elts[n]) for n in graph.nodes}
         return self._with(graph, elts, self.whole & other.whole, self.closed and other.closed)
 
     def __sub__(self, other: Frame) -> Frame:
         """Without the other's elements; of the rest, what is still computed from the sources of this frame. Empty nodes go."""
-        left = {n: x.join(other.elts[n], "hid", "left_anti") if n in other.elts else x for n, x in self.elts.items()}
+        left = {n: keyed.within(x, other.elts[n], "left_anti") if n in other.elts else x for n, x in self.elts.items()}
         return self.select_subsets(left, trusted=True).drop_unreachable("forward", "strong").pinned().cleanup()
 
     @staticmethod
@@ -342,7 +369,9 @@ class Frame:
 
     def kinds(self, variable: str) -> set[str] | None:
         """What the variable can hold, where the log knows it: only the values of these are read."""
-        edges = self.in_edges(variable) + self.out_edges(variable)
+        edges, known = self.in_edges(variable) + self.out_edges(variable), keyed.keys_of(self.elts[variable])
+        if known is not None:
+            return {known.kind}
         if not hasattr(self.log, "kind") or not edges:
             return None
         return {self.log.kind(self.graph.ops[a if a in self.graph.ops else b], x) for a, b, x in edges}
@@ -467,7 +496,7 @@ class Frame:
         return reach.stream(self, nodes, "back", how)
 
     def midstream(self, *nodes: str, how: str = "strong") -> Frame:
-        return reach.midstream(self, nodes, how)
+        return reach.midstream(self, nodes, how, alone=False)
 
     def drop_unreachable(self, direction: str = "forward", how: str = "strong") -> Frame:
         return reach.drop_unreachable(self, direction, how)

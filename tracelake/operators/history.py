@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import entity_hid
+from ..sources import keyed
 from ..sources.shared import cut
 from .frame import Frame, union_all
-from .reach import wide
+from .reach import midstream, wide
 
 #: Joins of wide tables in one plan, at most; beyond it triples are closed.
 PATHS = 48
@@ -54,11 +56,70 @@ def _chain(frame: Frame, variable: str) -> DataFrame:
             for (u, _, _), n in zip(ins, names[1:], strict=True):
                 columns.setdefault(u, []).append(n)
                 todo.append((u, n))
-    several = lambda names: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ",")
-    cells = {n: F.col(c[0]) if len(c) == 1 else F.when(F.coalesce(*c).isNotNull(), several(c)) for n, c in columns.items()}
+    cells = {n: F.col(c[0]) if len(c) == 1 else F.when(F.coalesce(*c).isNotNull(), _several(c)) for n, c in columns.items()}
     return out.select(*[cells[n].alias(n) for n in frame.sort_nodes(cells)])
 
 
+def _tree(frame: Frame, variable: str, merged: bool) -> bool:
+    """Whether the elements of all variables above one, itself included, are just the references of whole ops of a log of facts, each
+    variable made by one function at most, on few paths; unless `merged`, on one path each."""
+    if not (hasattr(frame.log, "facts") and frame.closed and len(frame.in_edges(variable)) == 1):
+        return False
+    paths = _paths(frame, variable)
+    nodes = frame.graph.reachable([variable], "back")
+    if paths is None or paths > PATHS or not merged and paths > len(nodes):
+        return False
+    for n in nodes:
+        if n in frame.graph.ops:
+            if n not in frame.whole:
+                return False
+            continue
+        known, edges = keyed.keys_of(frame.elts[n]), frame.in_edges(n)
+        touching = {(frame.graph.ops[e[0] if e[0] in frame.graph.ops else e[1]], e[2]) for e in edges + frame.out_edges(n)}
+        if known is None or known.edges is None or known.edges != touching or len(edges) > 1:
+            return False
+    return True
+
+
+def _over_keys(frame: Frame, variable: str, how: str, texts=frozenset()) -> DataFrame:
+    """The chain of a `_tree` over keys, from the calls that made the variable; ids (for some variables texts) are made at the end.
+
+    With how = full_outer, what no call used gets rows of its own.
+    """
+    cells: dict[str, list[Column]] = {}
+    taken = iter(range(1 << 30))
+
+    def grow(f: str):
+        fact = frame.log.facts[frame.graph.ops[f]].renamed(f"{next(taken)}_")
+        df = fact.rows
+        cells.setdefault(f, []).append(fact.call())
+        for u, _, label in frame.in_edges(f):
+            kind, key = fact.kind(label), fact.key(label)
+            for g, _, made in frame.in_edges(u):
+                inner, source = grow(g)
+                other = source.key(made)
+                if not keyed.like(fact.types()[label], source.types()[made]):
+                    key, other = key.cast("string"), other.cast("string")
+                df = df.join(inner, key == other, how)
+                key = F.coalesce(key, other) if how == "full_outer" else key
+            cells.setdefault(u, []).append(_cell(kind, key, u in texts))
+        return df, fact
+
+    ((f, _, label),) = frame.in_edges(variable)
+    df, fact = grow(f)
+    cells[variable] = [_cell(fact.kind(label), fact.key(label), variable in texts)]
+    names = frame.sort_nodes(cells)
+    return df.select(*[(c[0] if len(c := cells[n]) == 1 else F.when(F.coalesce(*c).isNotNull(), _several(c))).alias(n) for n in names])
+
+
+def _cell(kind: str, key: Column, text: bool) -> Column:
+    return F.concat(F.lit(kind + ":"), key.cast("string")) if text else entity_hid(kind, key)
+
+
+def _several(cells: list) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*cells)))), ",")
+
+
 def closure(frame: Frame, variable: str) -> DataFrame:
     """root, node, hid: all that the elements of a variable were computed from, calls included."""
     nodes = frame.graph.reachable([variable], "back")
@@ -91,6 +152,8 @@ def closure(frame: Frame, variable: str) -> DataFrame:
 
 def history(frame: Frame, variable: str) -> DataFrame:
     """One row for each element of a variable: columns for it and all its ancestors, calls included."""
+    if _tree(frame, variable, True):
+        return _over_keys(frame, variable, "left")
     paths = _paths(frame, variable)
     if paths is not None and paths <= PATHS:
         return _chain(frame, variable)
@@ -137,7 +200,12 @@ def table(frame: Frame, nodes=(), values: str = "objs", lazy_vars=(), include_ca
     if len(nodes) == 1:
         only = frame.elts[nodes[0]].select(F.col("hid").alias(nodes[0]))
         return only if values == "refs" or nodes[0] in frame.graph.ops else attach_values(frame, only, [nodes[0]])
-    part = frame.midstream(*nodes)
+    part = midstream(frame, nodes)
+    if len(part.sinks) == 1 and part.sinks[0] in part.graph.variables and _tree(part, part.sinks[0], False) and set(part.nodes) == part.graph.reachable(part.sinks, "back"):
+        # what is used ends in the one sink, so the tables of the other roots only add what is not
+        show = [n for n in nodes if n in part.graph.variables and n not in set(lazy_vars)] if values != "refs" else []
+        out = _over_keys(part, part.sinks[0], "left" if join_how == "inner" else "full_outer", frozenset(show))
+        return out.select(*[c for c in out.columns if c in nodes and (include_calls or c not in frame.graph.ops)])
     roots = root_variables(part)
     if not roots:
         return frame.log.spark.createDataFrame([], ", ".join(f"`{n}` string" for n in nodes))

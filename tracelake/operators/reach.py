@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import keyed
 from ..sources.shared import cut
 from .frame import Frame, union_all
 
@@ -20,6 +21,9 @@ def _hid(df: DataFrame, name: str) -> DataFrame:
 def wide(frame: Frame, f: str, direction: str | None, labels: list[str]) -> DataFrame:
     """call_hid and one column for each label of a function node (of one side or both); null where a call lacks it."""
     op = frame.graph.ops[f]
+    fact = keyed.fact_of(frame.elts[f])
+    if fact is not None:
+        return fact.wide().select("call_hid", *labels)
     if hasattr(frame.log, "facts"):
         rows = frame.log.wide(op).select("call_hid", *labels)
     else:
@@ -34,6 +38,14 @@ def _strong(frame: Frame, f: str, state: dict[str, DataFrame], direction: str) -
     if not labels:
         return None
     side, op = "in" if direction == "forward" else "out", frame.graph.ops[f]
+    fact = keyed.fact_of(frame.elts[f])
+    if fact is not None:  # every call has every label
+        for x in labels:
+            found = [state[e[far]] for e in edges if e[2] == x and e[far] in state]
+            if not found:
+                return keyed.of_facts([fact.over(fact.rows.where("false"))])
+            fact = fact.narrowed(x, keyed.union(*found) if len(found) > 1 else found[0])
+        return keyed.of_facts([fact])
     reached = {x: [state[e[far]] for e in edges if e[2] == x and e[far] in state] for x in labels}
     if not any(frame.log.plural(op, x) for x in labels):
         rows = wide(frame, f, side, labels)
@@ -61,7 +73,7 @@ def _weak(frame: Frame, node: str, state: dict[str, DataFrame], direction: str)
     edges = frame.in_edges(node) if direction == "forward" else frame.out_edges(node)
     far = 0 if direction == "forward" else 1
     parts = [frame.adjacent_by_edge(e, state[e[far]], direction) for e in edges if e[far] in state]
-    return union_all(parts) if parts else None
+    return (keyed.union(*parts) if len(parts) > 1 else parts[0]) if parts else None
 
 
 def _step(frame: Frame, node: str, state: dict[str, DataFrame], direction: str, how: str) -> DataFrame | None:
@@ -74,14 +86,16 @@ def reachable_elts(frame: Frame, initial: dict[str, DataFrame], direction: str =
     """Elements by node reached from the initial ones, which are included."""
     if direction not in ("forward", "back") or how not in ("strong", "weak"):
         raise ValueError("direction is forward or back, how is strong or weak")
-    state = {n: x.select("hid") for n, x in initial.items()}
+    state = dict(initial)
     order = frame.graph.order()
     order = order if direction == "forward" else order[::-1]
     if frame.graph.acyclic:
         for node in order:
             new = _step(frame, node, state, direction, how)
             if new is not None:
-                state[node] = state[node].unionAll(new).distinct() if node in state else new.distinct()
+                state[node] = keyed.union(state[node], new) if node in state else new if keyed.fact_of(new) else keyed.distinct(new)
+                if node in frame.graph.ops:  # its references are all read from here
+                    state[node] = keyed.kept(state[node])
         return state
     size = None
     while True:
@@ -104,17 +118,42 @@ def stream(frame: Frame, nodes, direction: str, how: str) -> Frame:
     return part.select_subsets(state, trusted=True)
 
 
-def midstream(frame: Frame, nodes, how: str = "strong") -> Frame:
-    """What lies on paths between the nodes and is computed from those of its sources that belong to them."""
+def _begins(part: Frame, nodes: list[str]) -> bool:
+    """Whether every element of the part is a source among the nodes or computed from such, by the graph alone."""
+    if not (hasattr(part.log, "facts") and part.closed and part.graph.acyclic):
+        return False
+    return part.graph.variables <= set(nodes) and all(part.in_edges(f) for f in part.graph.ops)
+
+
+def midstream(frame: Frame, nodes, how: str = "strong", alone: bool = True) -> Frame:
+    """What lies on paths between the nodes and is computed from those of its sources that belong to them.
+
+    A source that no call of the part uses lies on no path; with `alone` it stays, as a row of its own in a table.
+    """
     nodes = list(nodes)
     between = {n for a in nodes for b in nodes if a != b for edge in frame.graph.edges_between(a, b) for n in edge}
     part = frame.select_nodes(between or nodes)
-    if part.closed and between <= set(nodes) and how == "strong":
+    if alone and how == "strong" and (part.closed and between <= set(nodes) or _begins(part, nodes)):
         return part  # every element is a source among the nodes, or computed from such
     sources = {n: x for n, x in part.source_elts().items() if n in nodes}
+    if between and not alone:
+        sources = {n: _used(part, n, x) for n, x in sources.items()}
     return part.select_subsets(reachable_elts(part, sources, "forward", how), trusted=True)
 
 
+def _used(frame: Frame, node: str, elements: DataFrame) -> DataFrame:
+    """Those of a variable's elements that some call of the frame uses; calls as they are."""
+    edges = frame.out_edges(node) if node in frame.graph.variables else []
+    facts = [keyed.fact_of(frame.elts[f]) for _, f, _ in edges]
+    if edges and all(facts):
+        used = keyed.union(*(fact.elements(x) for fact, (_, _, x) in zip(facts, edges, strict=True)))
+    elif edges:
+        used = union_all(frame.pairs(e).select(F.col("src").alias("hid")) for e in edges)
+    else:
+        return elements if node in frame.graph.ops else elements.where("false")
+    return keyed.within(elements, used)
+
+
 def drop_unreachable(frame: Frame, direction: str = "forward", how: str = "strong") -> Frame:
     start = frame.source_elts() if direction == "forward" else frame.sink_elts()
     return frame.select_subsets(reachable_elts(frame, start, direction, how), trusted=True)

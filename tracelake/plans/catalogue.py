@@ -13,6 +13,7 @@ from ..operators.frame import Frame
 from ..operators.memo import Storage
 from ..operators.model import NewArgDefault, op
 from ..sources.ingest import line_key, open_log, read
+from ..sources.keyed import of_keys
 from .twins import FACTS, LINE, TRADE, call, cid, hid, io, members, ref, rows, union, wide
 
 QUERIES: dict = {}
@@ -44,7 +45,7 @@ def orders_and_lines(spark, sf_dir) -> Frame:
 
 
 def ids(df: DataFrame, kind: str, key: Column | str) -> DataFrame:
-    return df.select(entity_hid(kind, F.col(key) if isinstance(key, str) else key).alias("hid"))
+    return of_keys(kind, df.select((F.col(key) if isinstance(key, str) else key).alias("key")))
 
 
 def building(spark, sf_dir) -> DataFrame:

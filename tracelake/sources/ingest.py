@@ -8,13 +8,15 @@ op is a projection of its source without any shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import entity_cid, entity_hid
+from . import keyed
 
 IO = ["call_hid", "name", "direction", "call_cid", "ref_cid", "ref_hid", "op", "semantic_version", "content_version", "label"]
 
@@ -47,6 +49,72 @@ class Fact:
         return self.rows.select(self._key("fact", entity_hid).alias("call_hid"), *columns).distinct() if self.repeats else self.rows.select(self._key("fact", entity_hid).alias("call_hid"), *columns)
 
     repeats: bool = False
+    #: no call stands in two rows
+    unique: bool = False
+
+    def kind(self, label: str) -> str:
+        return self.inputs[label][0] if label in self.inputs else self.output[1]
+
+    def key(self, label: str) -> Column:
+        return self.inputs[label][1] if label in self.inputs else self.output[2]
+
+    def hid(self, label: str) -> Column:
+        return entity_hid(self.kind(label), self.key(label))
+
+    def call(self) -> Column:
+        return self._key("fact", entity_hid)
+
+    def over(self, rows: DataFrame) -> Fact:
+        """The same columns of other rows."""
+        return replace(self, rows=rows)
+
+    def renamed(self, prefix: str = "") -> Fact:
+        """The same calls over rows of one key column for each label."""
+        labels = [*self.input_names, self.output[0]]
+        rows = self.rows.select(*[self.key(n).alias(prefix + n) for n in labels])
+        own = lambda n: F.col(f"`{prefix + n}`")
+        return Fact(self.op, rows, {n: (self.inputs[n][0], own(n)) for n in self.inputs}, (self.output[0], self.output[1], own(self.output[0])), repeats=self.repeats, unique=self.unique)
+
+    def types(self) -> dict[str, T.DataType]:
+        labels = [*self.input_names, self.output[0]]
+        return dict(zip(labels, (f.dataType for f in self.rows.select(*[self.key(n).alias(n) for n in labels]).schema.fields), strict=True))
+
+    def alike(self, other: Fact) -> bool:
+        return self.types() == other.types()
+
+    def once(self) -> Fact:
+        """Each call once; rows of equal keys are one call."""
+        if self.unique:
+            return self
+        out = self.renamed()
+        return replace(out, rows=out.rows.distinct(), unique=True)
+
+    def elements(self, label: str, edges=None) -> DataFrame:
+        """hid of the references under a label, each once."""
+        out = keyed.whole(self.kind(label), self.rows.select(self.key(label).alias("key")), edges)
+        keyed.keys_of(out).source = (self, label)
+        return out
+
+    def narrowed(self, label: str | None, ids: DataFrame, how: str = "left_semi") -> Fact:
+        """Calls by their ids, or by their references under a label: those among `ids`, each once, or with left_anti those not among them.
+
+        Keys of the same kind meet as they are, ids of unknown keys as 16 bytes. Only columns of the source pass through the join.
+        """
+        known, rows = keyed.keys_of(ids), self.rows
+        if label is not None and known and known.kind != self.kind(label):
+            return self.over(rows.where("false")) if how == "left_semi" else self
+        if label is not None and known and keyed.like(known.type, self.types()[label]):
+            rows, other = rows.withColumn("__id", self.key(label).cast("long")), known.rows.select(F.col("key").cast("long").alias("__id"))
+        else:
+            rows = rows.withColumn("__id", F.unhex(self.call() if label is None else self.hid(label)))
+            other = ids.select(keyed.packed(F.col(ids.columns[0])).alias("__id"))
+        rows = self.over(rows.join(other, "__id", how))
+        if how == "left_anti":
+            return rows.over(rows.rows.drop("__id"))
+        # equal calls have equal ids, so each is found once where the join has dealt it
+        labels = [*self.input_names, self.output[0]]
+        once = rows.rows.select("__id", *[self.key(n).alias(n) for n in labels]).distinct()
+        return replace(self.renamed(), rows=once.select(*labels), unique=True)
 
     def branch(self, name: str) -> DataFrame:
         direction = "in" if name in self.inputs else "out"
@@ -118,6 +186,69 @@ class Log:
     def calls_io(self) -> DataFrame:
         return self.io().drop("label")
 
+    def touching(self, ids: DataFrame, ops=None, direction: str = "in") -> DataFrame:
+        """hid of the calls with a reference among the ids under a label of one side, each once."""
+        found = []
+        for op in self.op_names if ops is None else sorted(set(ops) & set(self.facts)):
+            fact = self.facts[op]
+            known = keyed.keys_of(ids)
+            own = [fact.narrowed(x, ids) for x in (fact.input_names if direction == "in" else fact.output_names) if known is None or fact.kind(x) == known.kind]
+            if own:
+                found.append(keyed.fact_of(keyed.union(*(keyed.of_facts([f]) for f in own))))
+        return keyed.of_facts(found) if found else self.spark.createDataFrame([], "hid string")
+
+    def without(self, calls: DataFrame, ops=None) -> DataFrame:
+        """Rows of the log without some calls."""
+        gone, facts = keyed.facts_of(calls), dict(self.facts)
+        for op in facts:
+            own = calls if gone is None else keyed.of_facts(same) if (same := [f for f in gone if f.op == op]) else None
+            facts[op] = facts[op] if own is None else facts[op].narrowed(None, own, "left_anti")
+        return replace(self, facts=facts).io(ops)
+
+    def reach(self, refs: DataFrame | None, calls: DataFrame | None, back: bool, ops=None) -> tuple[DataFrame, DataFrame] | None:
+        """provenance.closure over keys, an op at a time from the start on; None where things of a kind lead to others of that kind."""
+        order = self._order(self.op_names if ops is None else sorted(set(ops) & set(self.facts)))
+        if order is None:
+            return None
+        found: dict[str, DataFrame] = {}
+        loose, made = None, []
+        if refs is not None:
+            known = keyed.keys_of(refs)
+            if known:
+                found[known.kind] = keyed.distinct(refs)
+            else:
+                loose = refs.select(F.col(refs.columns[0]).alias("hid")).distinct()
+        start = keyed.facts_of(calls) if calls is not None else None
+        for op in order[::-1] if back else order:
+            fact, own = self.facts[op], []
+            near, far = (fact.output_names, fact.input_names) if back else (fact.input_names, fact.output_names)
+            for x in near:
+                own += [keyed.of_facts([fact.narrowed(x, ids)]) for ids in (found.get(fact.kind(x)), loose) if ids is not None]
+            if calls is not None:
+                given = [f for f in start if f.op == op] if start is not None else [fact.narrowed(None, calls)]
+                own += [keyed.of_facts([f.once()]) for f in given]
+            if own:
+                step = keyed.kept(keyed.union(*own))
+                made.append(keyed.fact_of(step))
+                for x in far:
+                    more, kind = made[-1].elements(x), fact.kind(x)
+                    found[kind] = keyed.union(found[kind], more) if kind in found else more
+        hids = [x.select("hid") for x in found.values()] + ([loose] if loose is not None else [])
+        empty = lambda: self.spark.createDataFrame([], "hid string")
+        both = reduce(DataFrame.unionAll, hids) if hids else empty()
+        return both.distinct() if loose is not None and found else both, keyed.of_facts(made) if made else empty()
+
+    def _order(self, ops) -> list[str] | None:
+        """Ops so that each comes after those that make what it uses; None where there is no such order."""
+        left, out = list(ops), []
+        while left:
+            made = {o: self.facts[o].output[1] for o in left}
+            free = [o for o in left if not {k for k, _ in self.facts[o].inputs.values()} & set(made.values())]
+            if not free:
+                return None
+            out, left = out + free, [o for o in left if o not in free]
+        return out
+
     def link(self, op: str, direction: str, label: str) -> DataFrame:
         """call_hid, name and ref_hid of one kind of edge."""
         fact = self.facts.get(op)
@@ -126,8 +257,11 @@ class Log:
         return fact.branch(label).select("call_hid", "name", "ref_hid")
 
     def calls(self, op: str) -> DataFrame:
-        fact = self.facts[op]
-        return fact.branch(fact.output[0]).select(F.col("call_hid").alias("hid"))
+        return keyed.of_facts([self.facts[op]])
+
+    def elements(self, op: str, direction: str, label: str) -> DataFrame:
+        """hid of all references under a label, each once."""
+        return self.facts[op].elements(label, frozenset([(op, label)]))
 
     def plural(self, op: str, label: str) -> bool:
         return False

@@ -303,6 +303,10 @@ class Store:
         name = F.col("name").startswith("elts_") if op == MAKE_LIST and label == "elts" else F.col("name") == label
         return self.calls_io.where((F.col("op") == op) & (F.col("direction") == direction) & name).select("call_hid", "name", "ref_hid")
 
+    def elements(self, op: str, direction: str, label: str) -> DataFrame:
+        """hid of all references under a label, each once."""
+        return self.link(op, direction, label).select(F.col("ref_hid").alias("hid")).distinct()
+
     def calls(self, op: str) -> DataFrame:
         return self.calls_io.where(F.col("op") == op).select(F.col("call_hid").alias("hid")).distinct()
 
