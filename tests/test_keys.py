@@ -67,3 +67,33 @@ def test_joint_table_of_odd_rows(log):
     assert ids.columns == ["customer", "place", "order", "ship", "line"] and ids.count() == 6
     assert ids.where("place is null").count() == 1 and ids.where("ship is null and line is null").count() == 1
     assert frame.df("customer", "order", "line", values="refs", join_how="inner").count() == 5
+
+
+# streams
+
+
+def test_midstream_leaves_out_what_is_on_no_path(log):
+    """Customer 3 has no order: it is on no path, but a row of its own in the table."""
+    frame = Frame.from_op(log, "register") | Frame.from_op(log, "place") | Frame.from_op(log, "ship")
+    part = frame.midstream("customer", "line")
+    assert part.sizes() == {"customer": 3, "place": 4, "order": 4, "ship": 4, "line": 4}
+    assert frame.df("customer", "line", values="refs").count() == 6
+
+
+def test_streams_of_facts(spark, log):
+    frame = Frame.from_op(log, "place") | Frame.from_op(log, "ship")
+    some = keyed.of_keys("line", spark.createDataFrame([("a",), ("d",), ("x",)], "key string"))
+    up = frame.select_subsets({**frame.elts, "line": some}).upstream("line")
+    assert up.sizes() == {"line": 2, "ship": 2, "order": 2, "place": 1, "customer": 1}
+    plain = spark.createDataFrame([tuple(r) for r in some.collect()], "hid string")  # ids without keys
+    assert texts(frame.select_subsets({**frame.elts, "line": plain}).upstream("line").table()) == texts(up.table())
+
+
+@pytest.mark.parametrize("name, most", [("q43_upstream", 9), ("q32_downstream_strong", 9)])
+def test_streams_deal_calls_once(spark, name, most):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(QUERIES[name](spark, SF)) <= most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
