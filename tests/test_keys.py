@@ -97,3 +97,26 @@ def test_streams_deal_calls_once(spark, name, most):
         assert exchanges(QUERIES[name](spark, SF)) <= most
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+# expansion
+
+
+def test_expansion_writes_calls_once(spark, monkeypatch):
+    """Before, all rows of a step's calls were exploded, written, and each changed node was written again."""
+    from tracelake.operators import expand
+    from tracelake.sources import keyed as module
+
+    wrote = []
+    monkeypatch.setattr(module, "spill", lambda df, **k: (wrote.append(df.columns), df)[1])
+    monkeypatch.setattr(expand, "spill", None)
+    monkeypatch.setattr(Frame, "pinned", None)
+    for name in ("q31_expand_all", "q19_frame_union", "q20_frame_intersection", "q29_expand_back_from_lines", "q30_expand_forward_from_customers"):
+        wrote.clear()
+        QUERIES[name](spark, SF)
+        assert 0 < len(wrote) <= 5 and all("hid" not in c for columns in wrote for c in columns), name
+
+
+def test_expansion_of_odd_rows(log):
+    frame = Frame.from_op(log, "place").expand_all()
+    assert frame.sizes() == {"customer": 3, "order": 4, "line": 4, "place": 4, "ship": 4, "register": 2, "nation": 2}
