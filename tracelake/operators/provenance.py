@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import keyed
 from ..sources.shared import cut
 
 
@@ -18,12 +19,21 @@ def _one(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.col(df.columns[0]).alias(name)).distinct()
 
 
+def _calls(calls: DataFrame) -> DataFrame:
+    """Calls by the name call_hid, with what is known of them."""
+    return keyed.like_calls(calls.select(F.col("hid").alias("call_hid")), calls)
+
+
 def creators(log, refs: DataFrame, ops=None) -> DataFrame:
     """call_hid of the calls that made any of the references."""
+    if hasattr(log, "touching"):
+        return _calls(log.touching(refs, ops, "out"))
     return log.io(ops, "out", fields=("call_hid", "ref_hid")).join(_one(refs, "ref_hid"), "ref_hid", "left_semi").select("call_hid").distinct()
 
 
 def consumers(log, refs: DataFrame, ops=None) -> DataFrame:
+    if hasattr(log, "touching"):
+        return _calls(log.touching(refs, ops, "in"))
     return log.io(ops, "in", fields=("call_hid", "ref_hid")).join(_one(refs, "ref_hid"), "ref_hid", "left_semi").select("call_hid").distinct()
 
 
@@ -66,6 +76,8 @@ def count_calls(log, ops=None) -> DataFrame:
 def closure(log, refs: DataFrame | None, calls: DataFrame | None, back: bool, ops=None) -> tuple[DataFrame, DataFrame]:
     """(references, calls) reached from the start, the start included; ops may narrow the log."""
     spark = log.spark
+    if hasattr(log, "reach") and (found := log.reach(refs, calls, back, ops)) is not None:
+        return found[0], _calls(found[1])
     near, far = ("out_hid", "in_hid") if back else ("in_hid", "out_hid")
     edges = log.edges(ops).select("call_hid", F.col(near).alias("near"), F.col(far).alias("far"))
     empty = lambda name: spark.createDataFrame([], f"{name} string")
@@ -146,6 +158,8 @@ def drop_calls(store, calls: DataFrame, delete_dependents: bool = False) -> None
 def remaining(log, calls: DataFrame, delete_dependents: bool = True, ops=None) -> DataFrame:
     """The log's rows without the calls and, if asked, without their dependents: what drop_calls would leave."""
     gone = dependents(log, calls=calls, ops=ops)[1] if delete_dependents else _one(calls, "call_hid")
+    if hasattr(log, "without"):
+        return log.without(gone, ops)
     return log.io(ops).join(gone, "call_hid", "left_anti")
 
 
